@@ -1,0 +1,321 @@
+"""Operators against brute-force versions, on a small table with awkward rows."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+
+from plumbline.llm import bpe, mixing, quality, secrets, sharding, simhash
+
+DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint, bytes string, kept string"
+
+
+def words_of(text):
+    import re
+
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def make_rows(n=240, seed=3):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeéñßü") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    rows = []
+    for i in range(n):
+        text = " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 20, 80, 200])))
+        text = text.replace(" ", "\n", rng.randint(0, 4))
+        if i % 7 == 0 and rows:
+            text = rows[rng.randrange(len(rows))][1]
+        if i % 11 == 0 and rows and rows[-1][1]:
+            text = rows[-1][1] + " " + rng.choice(vocabulary)
+        rows.append([i, text, rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", "ç", None]), None, "x", "y"])
+    for k, odd in enumerate(["", None, " ", "\n\n", "word", "  two  spaces   here \n x", "#$ % <>|&* " * 20, "a b c d " * 60, "x" * 3000, "   z\u0000z", "it's 12³ we’ll  \n\n  go", "emoji 😀😀 é"]):
+        rows.append([1000 + k, odd, "en", "a", None, None, None])
+    rows.append(list(rows[5]))  # a repeated row
+    return [tuple(r) for r in rows]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return make_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DDL).repartition(5).persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def jump(key, n):
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+    return b
+
+
+def test_sharding(spark, docs, rows, empty):
+    got = sharding.shard_documents(docs, 24).collect()
+    assert len(got) == len(rows)
+    keys = {r["doc_id"]: r["k"] for r in docs.selectExpr("doc_id", "xxhash64(doc_id) k").collect()}
+    texts = {r[0]: r[1] or "" for r in rows}
+    slots = {}
+    for r in got:
+        key = keys[r["doc_id"]] % 2**64
+        assert (r["shard"], r["grown_shard"]) == (jump(key, 24), jump(key, 25)) and r["law"] == "key"
+        assert r["grown_shard"] in (r["shard"], 24)
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(raw) + 8, zlib.crc32(raw))
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert sharding.shard_documents(empty).count() == 0
+
+
+def test_sharding_unfolds_a_hot_key(spark):
+    hot = spark.createDataFrame([(7, "same")] * 250 + [(i, "t") for i in range(50)], "doc_id bigint, text string")
+    sized = sharding.shard_by_key(hot, "doc_id", 3, ["text"], run=16)
+    got = sized.collect()
+    assert len(got) == 300
+    for shard in range(3):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
+def brute_fingerprint(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = words_of(lowered)
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_classes(marks, radius=4):
+    parent = {d: d for d in marks}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(marks)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if bin(marks[a] ^ marks[b]).count("1") <= radius:
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    return {d: root(d) for d in ids}
+
+
+def test_simhash(docs, rows, empty):
+    marks = {r[0]: brute_fingerprint(r[1]) for r in rows}
+    classes = brute_classes(marks)
+    got = simhash.near_duplicates(docs).select("doc_id", simhash.hex_fingerprint().alias("f"), "component_id").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    for r in got:
+        assert r["f"] == f"{marks[r['doc_id']]:016x}"
+        assert r["component_id"] == classes[r["doc_id"]]
+    assert len(set(classes.values())) < len(classes)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("scheme", [0, 1, 2])
+def test_links_of_a_dense_ball_and_every_scheme(spark, scheme, monkeypatch):
+    monkeypatch.setattr(simhash, "SCHEMES", simhash.SCHEMES[scheme:])
+    rng = random.Random(scheme)
+    centre = rng.getrandbits(64)
+    marks = {}
+    for i in range(300):  # a large bucket, dealt out in cells
+        marks[i] = centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3)))
+    for i in range(300, 360):
+        marks[i] = rng.getrandbits(64)
+    by_mark = {}
+    for d, m in marks.items():
+        by_mark.setdefault(m, d)
+    signed = [(m - 2**64 if m >= 2**63 else m, d) for m, d in by_mark.items()]
+    fps = spark.createDataFrame(signed, "fp bigint, rep bigint")
+    links = [(r["a"], r["b"]) for r in simhash.near_links(fps, block=50).collect()]
+    reps = {d: m for m, d in by_mark.items()}
+    assert all(bin(reps[a] ^ reps[b]).count("1") <= 4 for a, b in links)
+    from plumbline.llm.components import connected_components
+
+    found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert {d: found.get(d, d) for d in reps} == brute_classes(reps)
+
+
+def brute_stats(text):
+    words = words_of(text)
+    windows = Counter(zip(words, words[1:], words[2:]))
+    covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if words_of(line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
+
+
+def test_quality(docs, rows, empty):
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(docs).collect()}
+    for r in rows:
+        stats = brute_stats(r[1])
+        mine = got[r[0]]
+        assert stats == tuple(mine[c] for c in quality.NAMES[:5])
+        assert mine["base_failed"] == (stats[0] < 50 or 100 * stats[4] > 50 * stats[0])
+        assert not (mine["base_failed"] and mine["kept"])
+    assert sum(r["kept"] for r in got.values()) > 0.8 * sum(not r["base_failed"] for r in got.values())
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in rows if got[r[0]]["kept"])
+    assert quality.quality_verdicts(empty).count() == 0
+
+
+def test_repeated_words_in_arrays_equal_windows():
+    rng = random.Random(1)
+    words = [rng.choice([b"a", b"b", b"c", b"dd"]) + str(rng.randint(0, 40)).encode() for _ in range(21_000)]
+    windows = Counter(zip(words, words[1:], words[2:]))
+    covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    assert quality.repeated_words(words) == len(covered)
+
+
+def test_sketch_cutoffs_follow_the_group(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "a") for i in range(150)]
+    rows += [(1000 + i, " ".join(f"# w{i}x{j}" for j in range(60)), "en", "b") for i in range(150)]
+    rows += [(5000, " ".join(f"# $ % w{j}" for j in range(60)), "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(docs).collect()}
+    assert all(kept[i] for i in range(150)) and all(kept[1000 + i] for i in range(150)) and not kept[5000]
+
+
+def brute_targets(sizes, weights=(5, 2, 1)):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    target, free, left = {}, set(names), sum(sizes.values())
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= 3 * sizes[s]
+        free -= over
+    return target
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_mixing(docs, rows, empty, block):
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(words_of(r[1]))
+    target = brute_targets(sizes)
+    got = mixing.taken_words(docs, block).collect()
+    again = mixing.taken_words(docs.repartition(3), block).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert r["taken"] <= 3 * r["size"] and r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(target[r["source"]])
+    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+    slots = mixing.mix(docs, block).where("words > 0").collect()
+    per_slot = {}
+    for r in slots:
+        assert per_slot.setdefault(r["slot"], r["source"]) == r["source"]
+    assert mixing.taken_words(empty).count() == 0
+
+
+def test_schedule_stays_near_the_weights(spark):
+    rows = [(i, "w " * 40, None, s) for s, n in (("a", 500), ("b", 900), ("c", 700)) for i in range(n)]
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    slots = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), 80).where("words > 0").collect()
+    order = [s for _, s in sorted({(r["slot"], r["source"]) for r in slots})]
+    shares = Counter(order)
+    for n in (50, 100, 300, 500):
+        head = Counter(order[:n])
+        assert all(abs(head[s] - n * shares[s] / len(order)) <= 6 for s in shares)
+
+
+def test_mixed_documents_hold_the_target(docs, rows):
+    unique = docs.dropDuplicates(["doc_id"])
+    out = mixing.mixed_documents(unique, 64)
+    assert out.columns == docs.columns
+    planned = {r["doc_id"]: r["taken"] for r in mixing.taken_words(unique, 64).collect()}
+    words = Counter()
+    for r in out.collect():
+        words[r["doc_id"]] += len(words_of(r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    assert {d: n for d, n in planned.items() if n} == dict(words)
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    import base64
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_is_tiktoken_and_decodes(docs, rows, empty, encoding):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    got = coded.collect()
+    assert len(got) == len(rows)
+    texts = {r[0]: r[1] or "" for r in rows}
+    for r in got:
+        assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == encoding.encode_ordinary(texts[r["doc_id"]])
+        assert bytes(r["decoded"]) == texts[r["doc_id"]].encode()
+    back = {r["doc_id"]: bytes(r["decoded"]).decode() for r in bpe.decode(coded.select("doc_id", "ids"), path).collect()}
+    assert back == texts
+    assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bpe_of_odd_texts(encoding, seed):
+    own = bpe.Coder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(seed)
+    alphabet = ["a", "b", "the", " ", " ", "  ", "\n", "\t", "'s", "'ll", "é", "ß", "1", "²", "Ⅷ", " ", "\u0085", "\x1c", "😀", "—", "aaaa", "ing"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += ["a" * 5000, " " * 700, "".join(rng.choice("abcdefgh") for _ in range(400)), "word " * 300_000]
+    for text, (ids, back) in zip(texts, own.code(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(text)
+        assert back == text.encode()
+
+
+def test_forest_on_held_out_findings():
+    forest = secrets.train(secrets.labelled_findings(3000, 7))
+    held = secrets.labelled_findings(1500, 99)
+    right = sum((forest.probability(secrets.features(k, v, b, a)) >= 0.5) == bool(y) for k, v, b, a, y in held)
+    assert right / len(held) > 0.95
+
+
+def test_secret_scan(spark, empty):
+    key, token, commit = "AKIA" + "Q7ZK2M9XW4LPT3VB", "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae", "3f786850e387550fdab836ed7e6dc881de23001b"
+    rows = [
+        (0, f"éé some words {key} and more words", 0, None),
+        (1, f'stat token = "{token}" here', 0, None),
+        (2, f"fixed in commit {commit} yesterday", 0, None),
+        (3, "plain words only, 192.168.0.1 and name@mail.example.com", 0, None),
+        (4, None, 0, None), (5, "", 0, None), (6, "password=b7db7aa4a5fcc78305 next", 0, None),
+        (7, "see https://docs/example/value/template_index_2024 there", 0, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, value string")
+    found = [r for r in secrets.scan_secrets(docs).collect() if r["is_secret"]]
+    assert {(r["doc_id"], r["value"]) for r in found} == {(0, key), (1, token), (6, "b7db7aa4a5fcc78305")}
+    texts = {r[0]: r[1] for r in rows}
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["value"] for r in found)
+    clean = {r["doc_id"]: r for r in secrets.redact_secrets(docs).collect()}
+    assert clean[0]["text"] == "éé some words [aws_key_id] and more words" and clean[0]["n_chars"] == len(clean[0]["text"])
+    assert [clean[i]["text"] for i in (2, 3, 4, 5, 7)] == [texts[i] for i in (2, 3, 4, 5, 7)]
+    assert secrets.scan_secrets(empty).count() == 0 and secrets.redact_secrets(empty).columns == empty.columns
