@@ -7,23 +7,25 @@ hash is an anchor: equal strings have their anchors at equal places, so only pos
 whose gram recurs can matter. And an anchor whose whole surroundings (all the strings it can stand
 for) equal those of an earlier anchor is settled: all of these strings recur.
 
-What is left, the strings around anchors whose gram recurs in different surroundings, is sorted. Each
-task sorts suffixes of its documents, cut to LENGTH bytes, into a run; runs are cut at common
-splitters, front-coded (the length of the prefix shared with the suffix before, and the rest) and
-exchanged. A loser tree merges the runs of a range. Its nodes remember how long a prefix their
-suffix shares with the last winner; two suffixes are compared only beyond what both are known to
-share with it. In the merged order equal strings are neighbours; all but the earliest are repeats.
+What is left are the suffixes at anchors whose gram recurs in different surroundings. Each task sorts
+those of its documents, cut to LENGTH bytes, into a run; runs are cut at common splitters,
+front-coded (the length of the prefix shared with the suffix before, and the rest) and exchanged,
+each suffix with the bytes before it. A loser tree merges the runs of a range. Its nodes remember how
+long a prefix their suffix shares with the last winner; two suffixes are compared only beyond what
+both are known to share with it. The merged order gives, for every number of bytes, which anchors
+agree so far to the right; sorting the bytes before the anchors gives the same to the left. A string
+that starts d bytes before its anchor equals those of the anchors that agree in d bytes to the left
+and LENGTH - d to the right: two numbers, without a look at the text. All but the earliest are repeats.
 """
 
 from __future__ import annotations
 
-import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,9 +38,9 @@ BEFORE = WINDOW - 1
 #: Zero bytes between documents in a buffer, so that no load of a gram's surroundings meets two of them.
 GAP = 104
 #: Bytes of text whose hashes are held at once, and suffixes in one sorted run.
-PIECE, RUN = 2 << 20, 300_000
-#: Bytes of a suffix that splitters look at.
-HEAD = 24
+PIECE, RUN = 2 << 20, 100_000
+#: Anchors of a merged range that are judged at once, at least; a gram's anchors stay together.
+BLOCK = 20_000
 _ODD = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -67,7 +69,7 @@ def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, bytes, int, int, int
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of every anchor: text number, hash of its gram, hash of its surroundings, their start and end."""
+    """Of every anchor: text number, hash of its gram, hash of its surroundings, its place, their end."""
     found = []
     for pieces in _pieces(texts):
         buffer = np.zeros(sum(len(p[1]) + GAP for p in pieces) + 2 * GAP, np.uint8)
@@ -102,7 +104,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             around *= _ODD[4 + j]
             around ^= around >> np.uint64(31)
         text = np.array([p[0] for p in pieces])[piece]
-        found.append((text, h[chosen].view(np.int64), _mix(around).view(np.int64), pos - left, pos + right))
+        found.append((text, h[chosen].view(np.int64), _mix(around).view(np.int64), pos, pos + right))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -114,17 +116,17 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         ids = np.array([-(2**63) if x is None else x for x in batch.column(0).to_pylist()], np.int64)
         order = np.argsort(ids, kind="stable")
-        text, gram, around, a, b = anchors([batch.column(1)[int(k)].as_py() for k in order])
+        text, gram, around, at, b = anchors([batch.column(1)[int(k)].as_py() for k in order])
         doc = ids[order][text]
         by = np.argsort(gram * np.int64(_ODD[30] >> np.uint64(1)) + around, kind="stable")
-        g, s, d, p = gram[by], around[by], doc[by], a[by]
+        g, s, d, p = gram[by], around[by], doc[by], at[by]
         again = np.zeros(len(by), bool)
         again[1:] = (g[1:] == g[:-1]) & (s[1:] == s[:-1])
         first = np.maximum.accumulate(np.where(again, 0, np.arange(len(by))))
         again &= (d != d[first]) | (p != p[first])
         settled = np.zeros(len(by), bool)
         settled[by] = again
-        doc_s, a_s, b_s = _union(doc[settled], a[settled], b[settled])
+        doc_s, a_s, b_s = _union(doc[settled], np.maximum(at[settled] - BEFORE, 0), b[settled])
         left = ~settled
         n = len(doc_s)
         spread = (doc_s * 31 + a_s).astype(np.int64) * np.int64(_ODD[31] >> np.uint64(1))
@@ -132,7 +134,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             "gram": np.concatenate((gram[left], spread)),
             "around": np.concatenate((around[left], np.zeros(n, np.int64))),
             "doc_id": np.concatenate((doc[left], doc_s)),
-            "a": np.concatenate((a[left], a_s)).astype(np.int32),
+            "at": np.concatenate((at[left], a_s + BEFORE)).astype(np.int32),
             "b": np.concatenate((b[left], b_s)).astype(np.int32),
             "settled": np.concatenate((np.zeros(int(left.sum()), bool), np.ones(n, bool))),
         }
@@ -154,45 +156,58 @@ def _union(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, .
 
 
 def recurring(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``ranges`` of (a, b, open). A range that is not open is repeated as a whole; in an
-    open one, the strings that start from a to b - LENGTH may be. Other bytes are not repeated."""
+    """``doc_id`` and ``ranges`` of (at, b, open), from BEFORE bytes before ``at``, or the text's start, to ``b``.
+
+    A range that is not open is repeated as a whole. In an open one, with an anchor at ``at``, strings
+    that hold the anchor may be repeated. Other bytes are not.
+    """
     rows = map_columns(
         docs, [F.col("doc_id").cast("bigint"), text_bytes()],
-        "gram bigint, around bigint, doc_id bigint, a int, b int, settled boolean", _anchor_rows,
+        "gram bigint, around bigint, doc_id bigint, at int, b int, settled boolean", _anchor_rows,
     )
     by_gram = W.partitionBy("gram")
-    ordered = W.partitionBy("gram", "around").orderBy("doc_id", "a")
+    ordered = W.partitionBy("gram", "around").orderBy("doc_id", "at")
     judged = rows.select(
-        "doc_id", "a", "b", "settled",
+        "doc_id", "at", "b", "settled",
         (F.row_number().over(ordered) == 1).alias("first"),
         F.first("doc_id").over(ordered).alias("d0"),
-        F.first("a").over(ordered).alias("a0"),
+        F.first("at").over(ordered).alias("at0"),
         (F.min("around").over(by_gram) != F.max("around").over(by_gram)).alias("mixed"),
     )
-    repeat = F.col("settled") | ~F.col("first") & ((F.col("d0") != F.col("doc_id")) | (F.col("a0") != F.col("a")))
+    repeat = F.col("settled") | ~F.col("first") & ((F.col("d0") != F.col("doc_id")) | (F.col("at0") != F.col("at")))
     kept = judged.where(repeat | (F.col("first") & F.col("mixed")))
     return (
-        kept.select("doc_id", F.struct("a", "b", (~repeat).alias("open")).alias("r"))
+        kept.select("doc_id", F.struct("at", "b", (~repeat).alias("open")).alias("r"))
         .groupBy("doc_id")
         .agg(F.collect_list("r").alias("ranges"))
     )
 
 
-def _open_starts(ranges: list[dict]) -> np.ndarray:
-    """Starts of the strings in question: those of open ranges that lie in no settled range."""
-    marks = [(r["a"], r["b"] - LENGTH + 1, r["open"]) for r in ranges]
-    size = max((m[1] for m in marks), default=0) + 1
-    open_at, done = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
-    for a, b, is_open in marks:
-        if b > a:
-            (open_at if is_open else done)[a] += 1
-            (open_at if is_open else done)[b] -= 1
-    return np.flatnonzero((np.cumsum(open_at) > 0) & (np.cumsum(done) == 0))
+def _open_anchors(ranges: list[dict]) -> np.ndarray:
+    """Places of open anchors, but for those whose strings all lie in settled ranges."""
+    done = sorted((max(r["at"] - BEFORE, 0), r["b"]) for r in ranges if not r["open"])
+    joined: list[list[int]] = []
+    for a, b in done:  # strings of both lie in the union only if the ranges share LENGTH - 1 bytes
+        if joined and a + LENGTH - 1 <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    starts, out = [x[0] for x in joined], []
+    for r in ranges:
+        if r["open"]:
+            k = bisect_right(starts, max(r["at"] - BEFORE, 0)) - 1
+            if k < 0 or joined[k][1] < r["b"]:
+                out.append(r["at"])
+    return np.array(sorted(set(out)), np.int64)
 
 
-def _suffixes(raw: bytes, starts: np.ndarray) -> np.ndarray:
-    text = np.frombuffer(raw, np.uint8)
-    return np.lib.stride_tricks.sliding_window_view(text, LENGTH)[starts]
+def _around(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of anchors at ``at``: LENGTH bytes from there and how many are the text's, BEFORE bytes going back and how many."""
+    padded = np.zeros(len(raw) + BEFORE + LENGTH, np.uint8)
+    padded[BEFORE : BEFORE + len(raw)] = np.frombuffer(raw, np.uint8)
+    both = np.lib.stride_tricks.sliding_window_view(padded, BEFORE + LENGTH)[at]
+    right, left = np.minimum(LENGTH, len(raw) - at), np.minimum(BEFORE, at)
+    return both[:, BEFORE:], right, both[:, :BEFORE][:, ::-1], left
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -207,7 +222,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _splitters(docs: DataFrame, marks: DataFrame, parts: int, sampled: int = 256, each: int = 64) -> np.ndarray:
-    """Heads of suffixes that cut the sort into ``parts`` ranges; from at most ``sampled`` documents, as they
+    """Grams that cut the sort into ``parts`` ranges; from at most ``sampled`` documents, as they
     decide the sizes of tasks only."""
     some = marks.where(F.exists("ranges", lambda r: r["open"])).orderBy(F.xxhash64("doc_id")).limit(sampled)
     joined = docs.join(F.broadcast(some.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"))
@@ -217,75 +232,68 @@ def _splitters(docs: DataFrame, marks: DataFrame, parts: int, sampled: int = 256
         for batch in batches:
             heads = []
             for raw, ranges in zip(batch.column(0), batch.column(1)):
-                starts = _open_starts(ranges.as_py())
                 text = raw.as_py()
-                for s in rng.permutation(starts)[:each].tolist():
-                    heads.append(text[s : s + HEAD])
+                for k in rng.permutation(_open_anchors(ranges.as_py()))[:each].tolist():
+                    heads.append(text[k : k + GRAM])
             yield {"head": heads}
 
     found = sorted(bytes(r[0]) for r in map_columns(joined, [text_bytes(), F.col("ranges")], "head binary", body).collect())
     cuts = sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
-    return np.array(cuts, f"S{HEAD}")
+    return np.array(cuts, f"S{GRAM}")
+
+
+RUNS = "part int, shared binary, tails binary, docs binary, places binary, rights binary, lefts binary, before binary"
 
 
-RUNS = "part int, kind int, shared binary, tails binary, docs binary, starts binary, ends binary"
+def sorted_run(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes of LENGTH bytes, and the prefix that each shares with the one before it."""
+    order = np.argsort(np.ascontiguousarray(suffixes).view(f"S{LENGTH}").ravel(), kind="stable")
+    return order, _shared(suffixes[order])
 
 
-def sorted_run(text: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted distinct suffixes with the place of the earliest, the prefix each shares with the one before,
-    and the places of the others."""
-    order = np.lexsort((start, doc))
-    text, doc, start = text[order], doc[order], start[order]
-    order = np.argsort(np.ascontiguousarray(text).view(f"S{LENGTH}").ravel(), kind="stable")
-    text, doc, start = text[order], doc[order], start[order]
-    shared = np.zeros(len(text), np.int64)
-    if len(text) > 1:
-        same = text[1:] == text[:-1]
-        shared[1:] = np.where(same.all(axis=1), LENGTH, same.argmin(axis=1))
-    new = shared < LENGTH
-    first = np.maximum.accumulate(np.where(new, np.arange(len(text)), 0))
-    again = ~new & ((doc != doc[first]) | (start != start[first]))
-    return text[new], doc[new], start[new], shared[new], doc[again], start[again]
+def _shared(rows: np.ndarray) -> np.ndarray:
+    shared = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        same = rows[1:] == rows[:-1]
+        shared[1:] = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
+    return shared
 
 
 def _runs(batches: Iterator[pa.RecordBatch], splitters: np.ndarray) -> Iterator[dict]:
+    """Rows of RUNS: a run of one task, cut at the splitters."""
     unpack = zstandard.ZstdDecompressor().decompress
     held, size = [], 0
 
     def emit() -> dict:
         nonlocal held, size
-        text, doc, start = (np.concatenate(x) for x in zip(*held))
+        suffix, right, before, left, doc, at = (np.concatenate(x) for x in zip(*held))
         held, size = [], 0
-        text, doc, start, shared, doc_again, start_again = sorted_run(text, doc, start)
+        order, shared = sorted_run(suffix)
+        suffix = suffix[order]
+        columns = [doc[order].astype(np.int64), at[order].astype(np.int32)]
+        columns += [x[order].astype(np.uint8) for x in (right, left, before)]
         out: dict[str, list] = {c.split()[0]: [] for c in RUNS.split(", ")}
-        heads = np.ascontiguousarray(text[:, :HEAD]).view(f"S{HEAD}").ravel()
+        heads = np.ascontiguousarray(suffix[:, :GRAM]).view(f"S{GRAM}").ravel()
         bounds = np.searchsorted(heads, splitters, "left").tolist()
-        for part, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(text)])):
-            if a == b:
-                continue
-            own = shared[a:b].copy()
-            own[0] = 0
-            tails = text[a:b][np.arange(LENGTH) >= own[:, None]]
-            row = (part, 0, own.astype(np.uint8), tails, doc[a:b].astype(np.int64), start[a:b].astype(np.int32), np.zeros(0))
-            for k, v in zip(out, row):
-                out[k].append(v.tobytes() if isinstance(v, np.ndarray) else v)
-        d, a, b = _union(doc_again, start_again, start_again + LENGTH)
-        if len(d):
-            row = ((TaskContext.get().partitionId() if TaskContext.get() else 0) % (len(splitters) + 1), 1, b"", b"", d.tobytes(), a.astype(np.int32).tobytes(), b.astype(np.int32).tobytes())
-            for k, v in zip(out, row):
-                out[k].append(v)
+        for part, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(suffix)])):
+            if a < b:
+                own = shared[a:b].copy()
+                own[0] = 0
+                tails = suffix[a:b][np.arange(LENGTH) >= own[:, None]]
+                for k, v in zip(out, (part, own.astype(np.uint8), tails, *(x[a:b] for x in columns))):
+                    out[k].append(v.tobytes() if isinstance(v, np.ndarray) else v)
         return out
 
     for batch in batches:
         for doc_id, packed, ranges in zip(*(batch.column(i) for i in range(3))):
-            starts = _open_starts(ranges.as_py())
-            if not len(starts):
+            places = _open_anchors(ranges.as_py())
+            if not len(places):
                 continue
             raw = unpack(packed.as_py())
-            for k in range(0, len(starts), RUN):
-                part = starts[k : k + RUN]
-                held.append((_suffixes(raw, part), np.full(len(part), doc_id.as_py(), np.int64), part))
-                size += len(part)
+            for k in range(0, len(places), RUN):
+                at = places[k : k + RUN]
+                held.append((*_around(raw, at), np.full(len(at), doc_id.as_py(), np.int64), at))
+                size += len(at)
                 if size >= RUN:
                     yield emit()
     if held:
@@ -293,17 +301,18 @@ def _runs(batches: Iterator[pa.RecordBatch], splitters: np.ndarray) -> Iterator[
 
 
 class LoserTree:
-    """Merges front-coded sorted runs; yields (prefix shared with the one before, doc, start) in sorted order."""
+    """Merges front-coded sorted runs (shared prefixes, tails); yields (prefix shared with the one before, run,
+    number in the run) in sorted order."""
 
-    def __init__(self, runs: list[tuple[bytes, bytes, np.ndarray, np.ndarray]]) -> None:
-        self.runs = [(r[0], r[1], r[2].tolist(), r[3].tolist()) for r in runs]
+    def __init__(self, runs: list[tuple[bytes, bytes]]) -> None:
+        self.runs = runs
         self.at = [0] * len(runs)  # next suffix of each run, and where its tail begins
         self.tail = [0] * len(runs)
         self.head: list[bytes | None] = [b""] * len(runs)
 
     def _advance(self, run: int) -> int:
         """The run's next suffix; returns the prefix it shares with the one before, -1 at the end."""
-        shared, tails, _, _ = self.runs[run]
+        shared, tails = self.runs[run]
         k = self.at[run]
         if k == len(shared):
             self.head[run] = None
@@ -364,8 +373,7 @@ class LoserTree:
 
         run, shared = build(1)
         while run >= 0 and head[run] is not None:
-            k = self.at[run] - 1
-            yield shared, self.runs[run][2][k], self.runs[run][3][k]
+            yield shared, run, self.at[run] - 1
             shared = self._advance(run)
             node = (run + size) // 2
             while node:
@@ -375,58 +383,71 @@ class LoserTree:
                 node //= 2
 
 
-def merged_repeats(runs: list[tuple[bytes, bytes, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Places (doc, start) of the suffixes that equal one at an earlier place in another run."""
-    docs, starts = [], []
-    least, rest = None, []
-
-    def close() -> None:
-        for place in rest:
-            if place != least:
-                docs.append(place[0])
-                starts.append(place[1])
-
-    for shared, doc, start in LoserTree(runs):
-        place = (doc, start)
-        if shared < LENGTH or least is None:
-            if rest:
-                close()
-            least, rest = place, []
-        elif place < least:
-            rest.append(least)
-            least = place
-        else:
-            rest.append(place)
-    if rest:
-        close()
-    return np.array(docs, np.int64), np.array(starts, np.int64)
+def repeats_of(
+    shared: np.ndarray, right: np.ndarray, before: np.ndarray, left: np.ndarray, doc: np.ndarray, at: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places (doc, start) of repeated strings, from anchors in the order of their suffixes.
+
+    shared: prefix shared with the suffix before; before: bytes going back from the anchor; right, left:
+    how many bytes of either side are the text's own.
+    """
+    n = len(shared)
+    group = np.cumsum(shared < GRAM)
+    back = np.argsort(np.ascontiguousarray(before).view(f"S{BEFORE}").ravel(), kind="stable")
+    back = back[np.argsort(group[back], kind="stable")]
+    agree = _shared(before[back])
+    agree[np.concatenate(([True], group[back][1:] != group[back][:-1]))] = -1
+    place = np.lexsort((at, doc))
+    docs, starts, to_left = [], [], np.empty(n, np.int64)
+    for d in range(BEFORE + 1):
+        to_left[back] = np.cumsum(agree < d)
+        key = np.cumsum(shared < LENGTH - d) * (n + 1) + to_left
+        rows = place[(left[place] >= d) & (right[place] >= LENGTH - d)]
+        _, first, inverse = np.unique(key[rows], return_index=True, return_inverse=True)
+        first = rows[first][inverse]
+        again = rows[(doc[rows] != doc[first]) | (at[rows] != at[first])]
+        docs.append(doc[again])
+        starts.append(at[again] - d)
+    return np.concatenate(docs), np.concatenate(starts)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows of RUNS, sorted by part. Holds the runs of one part at a time."""
+    """Repeats of rows of RUNS, sorted by part. Holds the runs of one part at a time."""
     part, runs = None, []
 
-    def result(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict:
-        doc, a, b = _union(doc, a, b)
+    def found(rows: list[tuple[int, int, int]], columns: tuple[np.ndarray, ...], base: np.ndarray) -> dict:
+        shared, run, k = (np.array(x, np.int64) for x in zip(*rows))
+        doc, at, right, left, before = (c[base[run] + k] for c in columns)
+        doc, start = repeats_of(shared, right.astype(np.int64), before, left.astype(np.int64), doc, at.astype(np.int64))
+        doc, a, b = _union(doc, start, start + LENGTH)
         return {"doc_id": doc, "a": a.astype(np.int32), "b": b.astype(np.int32)}
 
-    def close() -> dict:
-        doc, start = merged_repeats(runs) if len(runs) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return result(doc, start, start + LENGTH)
+    def close() -> Iterator[dict]:
+        sizes = [len(r["shared"]) for r in runs]
+        base = np.cumsum([0, *sizes])[:-1]
+        whole = lambda c, kind: np.concatenate([np.frombuffer(r[c], kind) for r in runs])
+        columns = (
+            whole("docs", np.int64), whole("places", np.int32), whole("rights", np.uint8), whole("lefts", np.uint8),
+            whole("before", np.uint8).reshape(-1, BEFORE),
+        )
+        rows: list[tuple[int, int, int]] = []
+        for row in LoserTree([(r["shared"], r["tails"]) for r in runs]):
+            if len(rows) >= BLOCK and row[0] < GRAM:
+                yield found(rows, columns, base)
+                rows = []
+            rows.append(row)
+        if rows:
+            yield found(rows, columns, base)
 
     for batch in batches:
         for row in batch.to_pylist():
-            docs, starts = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["starts"], np.int32)
-            if row["kind"] == 1:
-                yield result(docs, starts, np.frombuffer(row["ends"], np.int32))
-                continue
             if row["part"] != part:
                 if runs:
-                    yield close()
+                    yield from close()
                 part, runs = row["part"], []
-            runs.append((row["shared"], row["tails"], docs, starts))
+            runs.append(row)
     if runs:
-        yield close()
+        yield from close()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -463,7 +484,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_bytes": [], "spans": [], "kept": []}
             for packed, ranges, more in zip(*(batch.column(i) for i in range(1, 4))):
                 raw = unpack(packed.as_py())
-                gone = [(r["a"], r["b"]) for r in ranges.as_py() or () if not r["open"]]
+                gone = [(max(r["at"] - BEFORE, 0), r["b"]) for r in ranges.as_py() or () if not r["open"]]
                 gone += [(r["a"], r["b"]) for r in more.as_py() or ()]
                 spans: list[list[int]] = []
                 for a, b in sorted(gone):

@@ -58,7 +58,8 @@ def test_suffix_dedup(spark):
 
 def test_suffix_dedup_of_long_texts_and_small_runs(spark, monkeypatch):
     monkeypatch.setattr(suffixdedup, "PIECE", 1500)
-    monkeypatch.setattr(suffixdedup, "RUN", 400)
+    monkeypatch.setattr(suffixdedup, "RUN", 60)
+    monkeypatch.setattr(suffixdedup, "BLOCK", 50)
     rng = random.Random(6)
     prose = lambda n: "".join(rng.choice("abc ") for _ in range(n))
     passages = [prose(rng.randint(80, 600)) for _ in range(8)]
@@ -83,11 +84,10 @@ def test_loser_tree_merges_without_comparing_known_prefixes(seed):
         strings = sorted({bytes(rng.choice(b"ab") for _ in range(100 - 92)) * 1 + bytes([97]) * 92 if rng.random() < 0.5 else bytes(rng.choice(b"ab") for _ in range(100)) for _ in range(60)})
         everything += strings
         matrix = np.frombuffer(b"".join(strings), np.uint8).reshape(-1, 100)
-        docs, starts = np.full(len(strings), k, np.int64), np.arange(len(strings), dtype=np.int32)
-        text, doc, start, shared, again, _ = suffixdedup.sorted_run(matrix, docs, starts)
-        assert not len(again)
-        tails = text[np.arange(100) >= shared[:, None]]
-        runs.append((shared.astype(np.uint8).tobytes(), tails.tobytes(), doc, start))
+        order, shared = suffixdedup.sorted_run(matrix[rng.sample(range(len(strings)), len(strings))])
+        assert len(order) == len(strings)
+        tails = matrix[np.arange(100) >= shared[:, None]]
+        runs.append((shared.astype(np.uint8).tobytes(), tails.tobytes()))
     merged = list(suffixdedup.LoserTree(runs))
     everything.sort()
     assert len(merged) == len(everything)
