@@ -29,10 +29,10 @@ from plumbline.llm.common import map_columns, text_bytes
 
 #: Token i is the character of this code point plus i: private use, so nothing joins or normalizes it.
 OFFSET = 0xF0000
-#: Pieces of text kept with their tokens by one worker; beyond that the cache starts anew.
-CACHE = 500_000
+#: Pieces and words kept with their tokens by one worker; beyond that the cache starts anew.
+CACHE = 1_000_000
 #: Characters of a text handled at once, and bytes of text to a result batch.
-SEGMENT, PORTION = 1 << 20, 12 << 20
+SEGMENT, PORTION = 1 << 20, 4 << 20
 
 #: k packs rank, whether all occurrences may go at once, and position, so that its minimum is the leftmost best pair.
 #: The keyed recursion holds one row a word; the round number makes each changed word new to the next round.
@@ -58,8 +58,8 @@ WITH RECURSIVE t(word, seq, round) USING KEY (word) AS (
 SELECT word, seq FROM t
 """
 DECODE = """
-SELECT word, string_agg(v.hex, '' ORDER BY pos) AS hex
-FROM (SELECT word, unnest(l) AS tok, unnest(range(len(l))) AS pos FROM (SELECT word, string_split(seq, '') AS l FROM coded))
+SELECT word, any_value(seq) AS seq, string_agg(v.hex, '' ORDER BY pos) AS hex
+FROM (SELECT word, seq, unnest(l) AS tok, unnest(range(len(l))) AS pos FROM (SELECT *, string_split(seq, '') AS l FROM coded))
 JOIN vocabulary v USING (tok) GROUP BY word
 """
 
@@ -133,12 +133,16 @@ class Coder:
         coded = self.db.sql(ENCODE).to_arrow_table()
         self.db.register("coded", coded)
         decoded = self.db.sql(DECODE).to_arrow_table()
-        ids = dict(zip(coded["word"].to_pylist(), coded["seq"].to_pylist()))
-        for k, text in zip(decoded["word"].to_pylist(), decoded["hex"].to_pylist()):
-            got = np.frombuffer(ids[k].encode("utf-32-le"), "<u4") - np.uint32(OFFSET)
-            self.words[portion[k][0]] = (got.tobytes(), bytes.fromhex(text))
         self.db.unregister("words")
         self.db.unregister("coded")
+        seqs, texts = decoded["seq"].to_pylist(), decoded["hex"].to_pylist()
+        ids = (np.frombuffer("".join(seqs).encode("utf-32-le"), "<u4") - np.uint32(OFFSET)).tobytes()
+        text = bytes.fromhex("".join(texts))
+        i = t = 0
+        for k, seq, hexed in zip(decoded["word"].to_pylist(), seqs, texts):
+            j, u = i + 4 * len(seq), t + len(hexed) // 2
+            self.words[portion[k][0]] = (ids[i:j], text[t:u])
+            i, t = j, u
 
     def _learn_pieces(self, first: set[str], others: set[str]) -> None:
         """Split new pieces into words, learn those, and keep the pieces' tokens.
@@ -146,15 +150,13 @@ class Coder:
         A piece keeps None where white space meets a space at its ends: there the pattern looks
         beyond the piece, and the text has to be matched as a whole.
         """
-        split = []
+        split, find = [], self.find
         for known, pieces, lead in ((self.pieces[0], first, ""), (self.pieces[1], others, " ")):
-            for piece in pieces:
-                if piece in known:
-                    continue
+            for piece in pieces.difference(known):
                 if piece[-1:].isspace() or (lead and (not piece or piece[0].isspace())):
                     known[piece] = None
                 else:
-                    split.append((known, piece, self.find(lead + piece)))
+                    split.append((known, piece, find(lead + piece)))
         new = {w for _, _, words in split for w in words if w not in self.words}
         self.learn(list(new))
         for known, piece, words in split:
@@ -166,7 +168,7 @@ class Coder:
 
     def code(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of each text."""
-        if len(self.pieces[1]) + len(self.words) > 2 * CACHE:
+        if len(self.pieces[1]) + len(self.words) > CACHE:
             self.forget()
         cut = [[s.split(" ") for s in _segments(t)] for t in texts]
         first = {s[0] for t in cut for s in t[:1]}
@@ -270,7 +272,7 @@ def decode(coded: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), id
                 own.db.register("coded", pa.table({"word": np.arange(len(part), dtype=np.int32), "seq": part}))
                 found = own.db.sql(DECODE).fetchall()
                 own.db.unregister("coded")
-                for k, text in found:
+                for k, _, text in found:
                     out[at + k] = bytes.fromhex(text)
             yield {c: batch.column(i) for i, c in enumerate(carry)} | {"decoded": out}
 
