@@ -116,11 +116,12 @@ def validate_configs(
         F.from_json(F.col(config_col), "map<string,string>").alias("__texts"),
     )
     joined = parsed.join(F.broadcast(by_component), F.col("__component") == F.col("component_id"))
-    each = joined.where(F.col("__values").isNotNull()).select(
+    each = joined.select(
         *keep, "node_id", "component_id", "__values", "__texts", F.explode("__params").alias("p")
     )
     values, texts, p = F.col("__values"), F.col("__texts"), F.col("p")
-    active = each.where(is_active(values, texts, p["applies_when"])).withColumn("__key", found_key(values, p["candidates"]))
+    # One condition that needs p: as two, the null test would move below the unfolding and parse every config again.
+    active = each.where(F.when(values.isNull(), False).otherwise(is_active(values, texts, p["applies_when"]))).withColumn("__key", found_key(values, p["candidates"]))
     active = active.where(F.col("__key").isNotNull() | p["required"]).select(
         *keep, "node_id", "component_id", "p", values[F.col("__key")].alias("__v"), texts[F.col("__key")].alias("__t")
     )
