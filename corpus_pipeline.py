@@ -16,29 +16,47 @@ from pyspark.sql import functions as F
 from plumbline.llm import bpe, mixing, quality, secrets, simhash
 
 
+#: Bytes of an Arrow batch, unless the session names its own: workers and JVM each hold a batch and its results.
+BATCH_BYTES = "8m"
+#: Words a worker of the last stage keeps; the executor's heap has grown by then.
+WORDS_KEPT = 500_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    _small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the least doc_id."""
+    _small_batches(spark)
     return simhash.keep_representatives(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; every document stays."""
+    _small_batches(spark)
     return secrets.redact_secrets(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that each source's words come to its target."""
+    _small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document: doc_id, source, n_tokens, ids."""
-    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carry=("doc_id", "source"))
+    _small_batches(spark)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, carry=("doc_id", "source"), cache=WORDS_KEPT)
     return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids")
 
 

@@ -32,7 +32,7 @@ from plumbline.llm.common import map_columns, text_bytes
 
 #: Token i is the character of this code point plus i: private use, so nothing joins or normalizes it.
 OFFSET = 0xF0000
-#: Pieces and words kept with their tokens by one worker; beyond that the cache starts anew.
+#: Pieces and words kept with their tokens by one worker (some 300 bytes each); beyond that the cache starts anew.
 CACHE = 1_500_000
 #: Characters of a text handled at once, and bytes of text to a result batch.
 SEGMENT, PORTION = 1 << 20, 4 << 20
@@ -173,9 +173,9 @@ class Coder:
                 got = [self.words[w] for w in words]
                 known[piece] = (b"".join([x[0] for x in got]), b"".join([x[1] for x in got]))
 
-    def code(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+    def code(self, texts: list[str], cache: int = CACHE) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of each text."""
-        if len(self.pieces[1]) + len(self.words) > CACHE:
+        if len(self.pieces[1]) + len(self.words) > cache:
             self.forget()
         start, after = self.pieces
         cut, first, others = [], set(), set()
@@ -224,13 +224,16 @@ def coder(path: str, pattern: str) -> Coder:
     return shelf[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), cache: int = CACHE
+) -> DataFrame:
     """The columns ``carry``, ``ids`` and ``decoded`` for every whole text of ``docs``.
 
     ``ids`` is binary: token ids as little-endian unsigned 32-bit integers, as the ranks of the
     vocabulary at ``path`` give them for each match of ``pattern``, without special tokens.
     ``decoded`` holds the bytes that those ids stand for. Null and empty texts have no ids. Rows
-    that repeat each get a result; other columns of ``docs`` are ignored.
+    that repeat each get a result; other columns of ``docs`` are ignored. ``cache`` bounds the words a
+    worker keeps; fewer take less memory and more time, with the same tokens.
     """
     fields = [docs.schema[c] for c in carry]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids binary", "decoded binary"])
@@ -249,7 +252,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry:
                     at += 1
                 gc.disable()  # the caches hold no cycles, and walking them took a tenth of the time
                 try:
-                    coded = own.code(texts)
+                    coded = own.code(texts, cache)
                 finally:
                     gc.enable()
                 columns = {c: batch.column(i).slice(first, at - first) for i, c in enumerate(carry)}

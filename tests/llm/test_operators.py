@@ -291,6 +291,8 @@ def test_bpe_of_odd_texts(encoding, seed):
     for text, (ids, back) in zip(texts, own.code(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(text)
         assert back == text.encode()
+    few = [x for at in range(0, 400, 50) for x in own.code(texts[at : at + 50], cache=20)]
+    assert few == own.code(texts[:400])
 
 
 def test_forest_on_held_out_findings():
