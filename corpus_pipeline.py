@@ -18,8 +18,9 @@ from plumbline.llm import bpe, mixing, quality, secrets, simhash
 
 #: Bytes of an Arrow batch, unless the session names its own: workers and JVM each hold a batch and its results.
 BATCH_BYTES = "8m"
-#: Words a worker of the last stage keeps; the executor's heap has grown by then.
-WORDS_KEPT = 500_000
+#: Words a worker of the last stage keeps, bytes of text handled at once and characters of words in a query; the
+#: executor's heap has grown by then.
+WORDS_KEPT, PORTION, QUERY = 300_000, 1 << 20, 1 << 16
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -56,7 +57,8 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document: doc_id, source, n_tokens, ids."""
     _small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, carry=("doc_id", "source"), cache=WORDS_KEPT)
+    small = {"cache": WORDS_KEPT, "portion": PORTION, "query": QUERY}
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, carry=("doc_id", "source"), **small)
     return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids")
 
 

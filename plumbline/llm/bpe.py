@@ -34,8 +34,8 @@ from plumbline.llm.common import map_columns, text_bytes
 OFFSET = 0xF0000
 #: Pieces and words kept with their tokens by one worker (some 300 bytes each); beyond that the cache starts anew.
 CACHE = 1_500_000
-#: Characters of a text handled at once, and bytes of text to a result batch.
-SEGMENT, PORTION = 1 << 20, 4 << 20
+#: Characters of a text handled at once, bytes of text to a result batch, and characters of words in one query.
+SEGMENT, PORTION, QUERY = 1 << 20, 4 << 20, 1 << 20
 
 #: k packs rank, whether all occurrences may go at once, and position, so that its minimum is the leftmost best pair.
 #: The keyed recursion holds one row a word; the round number makes each changed word new to the next round.
@@ -97,6 +97,7 @@ class Coder:
         import regex
 
         self.find = regex.compile(pattern).findall
+        self.query = QUERY
         vocabulary = Vocabulary(path)
         self.ranks = vocabulary.ranks
         self.first = np.array([OFFSET + self.ranks[bytes([i])] for i in range(256)], "<u4")
@@ -122,7 +123,7 @@ class Coder:
         for word in words:
             portion.append(word)
             size += len(word)
-            if size >= 1 << 20:
+            if size >= self.query:
                 self._code(portion)
                 portion, size = [], 0
         if portion:
@@ -225,7 +226,14 @@ def coder(path: str, pattern: str) -> Coder:
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), cache: int = CACHE
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    text: str = "text",
+    carry: tuple[str, ...] = ("doc_id",),
+    cache: int = CACHE,
+    portion: int = PORTION,
+    query: int = QUERY,
 ) -> DataFrame:
     """The columns ``carry``, ``ids`` and ``decoded`` for every whole text of ``docs``.
 
@@ -233,7 +241,8 @@ def encode(
     vocabulary at ``path`` give them for each match of ``pattern``, without special tokens.
     ``decoded`` holds the bytes that those ids stand for. Null and empty texts have no ids. Rows
     that repeat each get a result; other columns of ``docs`` are ignored. ``cache`` bounds the words a
-    worker keeps; fewer take less memory and more time, with the same tokens.
+    worker keeps, ``portion`` the bytes of text handled at once and ``query`` the characters of new
+    words in one query; less takes less memory and more time, with the same tokens.
     """
     fields = [docs.schema[c] for c in carry]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids binary", "decoded binary"])
@@ -241,11 +250,12 @@ def encode(
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         own = coder(path, pattern)
+        own.query = query
         for batch in batches:
             at = 0
             while at < batch.num_rows:
                 texts, size, first = [], 0, at
-                while at < batch.num_rows and size < PORTION:
+                while at < batch.num_rows and size < portion:
                     raw = batch.column(n)[at].as_py()
                     texts.append(raw.decode("utf-8", "surrogateescape"))
                     size += len(raw)
