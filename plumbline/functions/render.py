@@ -1,9 +1,10 @@
-"""Values as Python prints them, and message templates, as expressions."""
+"""Values as Python and as JavaScript print them, and message templates, as expressions."""
 
 from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -90,6 +91,89 @@ def repr_text(text: Column, kind: Column) -> Column:
     return F.when(F.coalesce(odd, F.lit(False)), _printed(F.when(odd, text), kind)).otherwise(plain)
 
 
+def js_number(d: float) -> str:
+    """A number as JavaScript prints it: no point before a zero fraction, an exponent below 1e-6 and from 1e21 on."""
+    if d != d or d in (float("inf"), float("-inf")):
+        return "NaN" if d != d else "Infinity" if d > 0 else "-Infinity"
+    if d == 0:
+        return "0"
+    digits, _, exponent = f"{abs(Decimal(repr(float(d)))):e}".partition("e")
+    digits, e = digits.replace(".", "").rstrip("0"), int(exponent)
+    if e >= 21 or e < -6:
+        out = digits[0] + ("." + digits[1:] if len(digits) > 1 else "") + f"e{e:+d}"
+    elif e < 0:
+        out = "0." + "0" * (-e - 1) + digits
+    else:
+        digits = digits.ljust(e + 1, "0")
+        out = digits[: e + 1] + ("." + digits[e + 1 :] if digits[e + 1 :] else "")
+    return "-" + out if d < 0 else out
+
+
+def _js_value(x: object) -> str:
+    if isinstance(x, str):
+        return f"'{x}'"
+    if x is None or isinstance(x, bool):
+        return str(x)
+    if isinstance(x, list):
+        return "[" + ", ".join(map(_js_value, x)) + "]"
+    return "[object Object]" if isinstance(x, dict) else js_number(x)
+
+
+def _as_double(digits: str) -> float:
+    return float(digits)  # unlike int's, never too large
+
+
+@F.pandas_udf(T.StringType())
+def _js_printed(texts: pd.Series) -> pd.Series:
+    """Arrays, and numbers far from 1, as the second dialect prints them."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        return _js_value(json.loads(re.sub(r'^"(NaN|-?Infinity)"$', r"\1", text), parse_int=_as_double))
+
+    return pd.Series([one(t) for t in texts], dtype=object)
+
+
+def _js_scalar(text: Column, kind: Column) -> Column:
+    """A boolean, or a number near 1, as JavaScript turns it into a string; any other text as it is."""
+    number = F.regexp_replace(text.try_cast("double").cast("string"), r"^-?0\.0$|\.0$", "")
+    return (
+        F.when(is_number(kind) & is_int_text(text), F.when(text.rlike("^-?0+$"), "0").otherwise(text))
+        .when(is_number(kind), F.when(number == "", "0").otherwise(number))
+        .otherwise(text)
+    )
+
+
+def js_str(text: Column, kind: Column) -> Column:
+    """A value as JavaScript turns it into a string, to be compared with names of the contract.
+
+    What is missing is ``undefined``. Arrays of one element, and such arrays in each other up to three
+    deep, give their element's string; others give their JSON text, which equals no name.
+    """
+    for _ in range(3):
+        items = F.from_json(F.when(kind.startswith("ARRAY"), text), "array<string>")
+        alone = F.coalesce(F.size(items) == 1, F.lit(False))
+        text, kind = F.when(alone, F.get(items, 0)).otherwise(text), F.when(alone, F.regexp_extract(kind, "^ARRAY<(.*)>$", 1)).otherwise(kind)
+    return F.when(kind.isNull() | (kind == "UNDEFINED"), "undefined").when(kind == "VOID", "null").otherwise(_js_scalar(text, kind))
+
+
+def js_repr(text: Column, kind: Column) -> Column:
+    """A value as the second dialect prints it: scalars by expressions, arrays and numbers far from 1 by an Arrow UDF."""
+    size = F.abs(text.try_cast("double"))
+    near = F.when(is_int_text(text), F.length(text) <= 15).otherwise((size >= 1e-3) & (size < 1e7))
+    odd = F.coalesce(kind.startswith("ARRAY") | (is_number(kind) & ~near), F.lit(False))
+    plain = (
+        F.when(kind.isNull() | (kind == "UNDEFINED"), "undefined")
+        .when(kind == "VOID", "None")
+        .when(kind == "BOOLEAN", F.initcap(text))
+        .when(kind == "STRING", F.concat(F.lit("'"), text, F.lit("'")))
+        .when(kind.startswith("OBJECT"), "[object Object]")
+        .otherwise(_js_scalar(text, kind))
+    )
+    return F.when(odd, _js_printed(F.when(odd, text))).otherwise(plain)
+
+
 def filled(template: str, **values: Column) -> Column:
     """A template with its placeholders filled: pieces are concatenated, so a value may hold braces."""
     parts: list[Column] = []
@@ -108,11 +192,11 @@ def by_code(code: Column, of) -> Column:
     return out
 
 
-def rendered(code: Column, **values: Column) -> tuple[Column, Column, Column, Column]:
-    """type, severity, message and hint of a diagnostic."""
+def rendered(code: Column, joint: str = "_", **values: Column) -> tuple[Column, Column, Column, Column]:
+    """type, severity, message and hint of a diagnostic; joint: what stands between the type's two words."""
     severity = by_code(code, lambda row: F.lit(row[0]))
     return (
-        F.concat(F.lit("parameter_"), severity),
+        F.concat(F.lit("parameter" + joint), severity),
         severity,
         by_code(code, lambda row: filled(row[1], **values)),
         by_code(code, lambda row: filled(row[2], **values)),

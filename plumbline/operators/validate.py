@@ -3,15 +3,21 @@
 A config column is JSON text. It is parsed twice, side by side: as variants, which know types, and as
 texts, which keep what was written. The contract's parameters are joined by component (44 rows,
 broadcast) and unfolded in verdict order.
+
+There are two dialects. ``python`` is the canonical one. ``ts`` reads and prints values as JavaScript does:
+all numbers are doubles, arrays are objects, what is missing is undefined, and one-element arrays pass as
+their element where a name is due.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.contracts.registry import BY_ID, BY_LAYER, COMPONENTS, PADDING_SHAPE, spellings
-from plumbline.functions.render import is_int_text, is_number, rendered, repr_text, str_text
+from plumbline.functions.render import is_int_text, is_number, js_number, js_repr, js_str, rendered, repr_text, str_text
 from plumbline.sources.registry import PARAMS, param_rows
 
 VERDICT = ("type", "severity", "code", "field", "expected", "got", "message", "fix_hint")
@@ -26,17 +32,26 @@ def found_key(values: Column, candidates: Column) -> Column:
     return F.get(F.filter(candidates, lambda c: values[c].isNotNull() & ~F.is_variant_null(values[c])), F.lit(0))
 
 
-def is_active(values: Column, texts: Column, applies_when: Column) -> Column:
-    """Whether all controlling parameters have one of the values for which a parameter applies."""
+def is_active(values: Column, texts: Column, applies_when: Column, show: Callable[[Column, Column], Column] = str_text) -> Column:
+    """Whether all controlling parameters have one of the values, turned into strings by ``show``, for which a parameter applies."""
 
     def one(a: Column) -> Column:
         key = found_key(values, a["candidates"])
-        return F.array_contains(a["allowed"], F.lower(str_text(texts[key], kind_of(values[key]))))
+        return F.array_contains(a["allowed"], F.lower(show(texts[key], kind_of(values[key]))))
 
     return F.forall(applies_when, one)
 
 
-def _is_pad(kind: Column, text: Column) -> Column:
+def _is_whole(d: Column) -> Column:
+    """Whether a double has no fraction; beyond 2**53 none has one, and floor would leave the range of longs."""
+    size = F.abs(d)
+    return ~F.isnan(d) & (size < float("inf")) & ((size >= 2.0**53) | (d == F.floor(d)))
+
+
+def _is_pad(kind: Column, text: Column, ts: bool = False) -> Column:
+    if ts:
+        d = text.try_cast("double")
+        return F.coalesce(is_number(kind) & (d >= 0) & _is_whole(d), F.lit(False))
     return F.coalesce((kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE")) & text.rlike("^([0-9]+|-0+)$"), F.lit(False))
 
 
@@ -50,13 +65,14 @@ def _diag(code: str, expected: Column | None = None, got: tuple[Column, Column]
     )
 
 
-def _number(p: Column, v: Column, t: Column, kind: Column) -> Column:
+def _number(p: Column, t: Column, kind: Column, ts: bool = False) -> Column:
     d = F.regexp_replace(t, '"', "").try_cast("double")
     got = (F.regexp_replace(t, '^"|"$', ""), kind)
-    whole = ~F.isnan(d) & (F.abs(d) != float("inf")) & (d == F.floor(d))
-    whole = F.when(is_int_text(t), True).otherwise(F.coalesce(whole, F.lit(False)))
+    whole = F.coalesce(_is_whole(d), F.lit(False))
+    whole = whole if ts else F.when(is_int_text(t), True).otherwise(whole)
     return (
         F.when(~is_number(kind), _diag("PARAM_NUMBER_NOT_A_NUMBER", None, (t, kind)))
+        .when(F.isnan(d) & F.lit(ts), _diag("PARAM_NUMBER_NOT_A_NUMBER", None, got))
         .when(p["integer"] & ~whole, _diag("PARAM_NUMBER_NOT_INTEGER", None, got))
         .when(F.isnan(d), None)
         .when(d < p["min"], _diag("PARAM_NUMBER_BELOW_MIN", p["expected_min"], got))
@@ -66,17 +82,18 @@ def _number(p: Column, v: Column, t: Column, kind: Column) -> Column:
     )
 
 
-def _padding(v: Column, t: Column, kind: Column) -> Column:
+def _padding(v: Column, t: Column, kind: Column, ts: bool = False) -> Column:
     shape = F.lit(PADDING_SHAPE)
     inside = F.from_json(t, "map<string,string>")
     mode, value = F.try_variant_get(v, "$.mode", "variant"), F.try_variant_get(v, "$.value", "variant")
-    mode_kind, value_kind = F.coalesce(kind_of(mode), F.lit("VOID")), F.coalesce(kind_of(value), F.lit("VOID"))
+    missing = F.lit("UNDEFINED" if ts else "VOID")
+    mode_kind, value_kind = F.coalesce(kind_of(mode), missing), F.coalesce(kind_of(value), missing)
     mode_text, value_text = inside["mode"], inside["value"]
     items = F.arrays_zip(
         F.from_json(value_text, "array<string>").alias("text"), F.try_variant_get(v, "$.value", "array<variant>").alias("item")
     )
     size = F.size(F.try_variant_get(v, "$.value", "array<variant>"))
-    bad_item = F.exists(items, lambda e: ~_is_pad(kind_of(e["item"]), e["text"]))
+    bad_item = F.exists(items, lambda e: ~_is_pad(kind_of(e["item"]), e["text"], ts))
     explicit = (
         F.when(
             value_kind.startswith("ARRAY"),
@@ -84,13 +101,13 @@ def _padding(v: Column, t: Column, kind: Column) -> Column:
                 bad_item, _diag("PARAM_PADDING_BAD_EXPLICIT_VALUE", None, (value_text, value_kind))
             ),
         )
-        .when(~_is_pad(value_kind, value_text), _diag("PARAM_PADDING_BAD_EXPLICIT_VALUE", None, (value_text, value_kind)))
+        .when(~_is_pad(value_kind, value_text, ts), _diag("PARAM_PADDING_BAD_EXPLICIT_VALUE", None, (value_text, value_kind)))
     )
     good_mode = (mode_kind == "STRING") & mode_text.isin("valid", "same", "explicit")
     return (
         F.when(kind == "STRING", F.when(~t.isin("valid", "same"), _diag("PARAM_PADDING_BAD_STRING", shape, (t, kind))))
         .when(
-            kind.startswith("OBJECT"),
+            kind.startswith("OBJECT") | kind.startswith("ARRAY") if ts else kind.startswith("OBJECT"),
             F.when(~F.coalesce(good_mode, F.lit(False)), _diag("PARAM_PADDING_BAD_MODE", None, (mode_text, mode_kind))).when(
                 mode_text == "explicit", explicit
             ),
@@ -100,14 +117,24 @@ def _padding(v: Column, t: Column, kind: Column) -> Column:
 
 
 def validate_configs(
-    df: DataFrame, component_col: str = "component_id", config_col: str = "config", node_id_col: str = "node_id", keep: tuple[str, ...] = ()
+    df: DataFrame,
+    component_col: str = "component_id",
+    config_col: str = "config",
+    node_id_col: str = "node_id",
+    keep: tuple[str, ...] = (),
+    dialect: str = "python",
 ) -> DataFrame:
     """A row per diagnostic: ``keep``, node_id, component_id, param_pos, diag_pos and VERDICT.
 
-    Rows of unknown components, and configs that are not JSON objects, give no diagnostics.
+    Rows of unknown components, and configs that are not JSON objects, give no diagnostics. dialect:
+    ``python`` or ``ts``.
     """
+    if dialect not in ("python", "ts"):
+        raise ValueError(f"unknown dialect {dialect!r}")
+    ts = dialect == "ts"
+    to_str, to_repr = (js_str, js_repr) if ts else (str_text, repr_text)
     spark = df.sparkSession
-    by_component = _contract_rows(spark)
+    by_component = _contract_rows(spark, dialect)
     parsed = df.select(
         *[F.col(c) for c in keep],
         F.col(node_id_col).cast("string").alias("node_id"),
@@ -121,17 +148,17 @@ def validate_configs(
     )
     values, texts, p = F.col("__values"), F.col("__texts"), F.col("p")
     # One condition that needs p: as two, the null test would move below the unfolding and parse every config again.
-    active = each.where(F.when(values.isNull(), False).otherwise(is_active(values, texts, p["applies_when"]))).withColumn("__key", found_key(values, p["candidates"]))
+    active = each.where(F.when(values.isNull(), False).otherwise(is_active(values, texts, p["applies_when"], to_str))).withColumn("__key", found_key(values, p["candidates"]))
     active = active.where(F.col("__key").isNotNull() | p["required"]).select(
         *keep, "node_id", "component_id", "p", values[F.col("__key")].alias("__v"), texts[F.col("__key")].alias("__t")
     )
     v, t = F.col("__v"), F.col("__t")
     kind = kind_of(v)
-    printed = str_text(t, kind)
+    printed = to_str(t, kind)
     primary = (
         F.when(v.isNull(), _diag("PARAM_REQUIRED_MISSING"))
-        .when(p["kind"] == "number", _number(p, v, t, kind))
-        .when(p["kind"] == "padding", _padding(v, t, kind))
+        .when(p["kind"] == "number", _number(p, t, kind, ts))
+        .when(p["kind"] == "padding", _padding(v, t, kind, ts))
         .when(
             (p["kind"] == "enum") & ~F.array_contains(p["enum_values"], printed),
             _diag("PARAM_ENUM_NOT_ALLOWED", p["expected_enum"], (t, kind)),
@@ -149,13 +176,13 @@ def validate_configs(
     every = F.concat(F.filter(F.array(primary), lambda d: d.isNotNull()), notes)
     rows = active.select(*keep, "node_id", "component_id", "p", F.posexplode(every).alias("diag_pos", "d"))
     d = F.col("d")
-    got = F.when(d["code"] != "PARAM_REQUIRED_MISSING", repr_text(d["text"], d["kind"]))
+    got = F.when(d["code"] != "PARAM_REQUIRED_MISSING", to_repr(d["text"], d["kind"]))
     rows = rows.select(
         *keep, "node_id", "component_id", F.col("p.param_pos").alias("param_pos"), "diag_pos",
         d["code"].alias("code"), F.col("p.key").alias("field"), d["expected"].alias("expected"), got.alias("got"),
     )
     kind_, severity, message, hint = rendered(
-        F.col("code"), component_id=F.col("component_id"), field=F.col("field"), expected=F.col("expected"), got=F.col("got")
+        F.col("code"), " " if ts else "_", component_id=F.col("component_id"), field=F.col("field"), expected=F.col("expected"), got=F.col("got")
     )
     return rows.select(
         *keep, "node_id", "component_id", "param_pos", "diag_pos", kind_.alias("type"), severity.alias("severity"), "code",
@@ -163,12 +190,23 @@ def validate_configs(
     )
 
 
-def _contract_rows(spark) -> DataFrame:
-    """A row per component with its parameters in order."""
+def dialect_diff(df: DataFrame, **options) -> DataFrame:
+    """Diagnostics that one dialect gives and the other does not, with ``dialect``: whose they are.
+
+    ``options`` are those of validate_configs. The types, which always differ, are left out.
+    """
+    of = {d: validate_configs(df, **options, dialect=d).drop("type") for d in ("python", "ts")}
+    only = lambda a, b: of[a].exceptAll(of[b]).withColumn("dialect", F.lit(a))
+    return only("python", "ts").unionByName(only("ts", "python"))
+
+
+def _contract_rows(spark, dialect: str = "python") -> DataFrame:
+    """A row per component with its parameters in order; bounds as the dialect prints them."""
     fields = _split_fields(PARAMS.removeprefix("component_id string, "))
     inner = ", ".join(x.replace(" ", ": ", 1) for x in fields)
     rows: dict[str, list] = {c: [] for c in BY_ID}
-    for r in param_rows():
+    js_bound = lambda x: None if x is None else js_number(x)
+    for r in param_rows(js_bound) if dialect == "ts" else param_rows():
         rows[r[0]].append(r[1:])
     return spark.createDataFrame(list(rows.items()), f"component_id string, __params array<struct<{inner}>>")
 
@@ -236,7 +274,10 @@ def architecture_nodes(df: DataFrame, diagram_col: str = "diagram", keep: tuple[
 
 
 def validate_architectures(df: DataFrame, diagram_col: str = "diagram", arch_id_col: str = "arch_id") -> DataFrame:
-    """Diagnostics of all nodes of all documents: arch_id, node_pos and the columns of validate_configs."""
+    """Diagnostics of all nodes of all documents: arch_id, node_pos and the columns of validate_configs.
+
+    Documents are read in the ``python`` dialect only: the other has no notion of them.
+    """
     nodes = architecture_nodes(df.withColumnRenamed(arch_id_col, "arch_id"), diagram_col)
     return validate_configs(nodes, keep=("arch_id", "node_pos"))
 
@@ -245,7 +286,7 @@ def param_flags(df: DataFrame, component_col: str = "component_id", key_col: str
     """``df`` with ``is_integer`` (null unless a number parameter of that name) and ``is_applicable`` (true if unknown).
 
     Names match in any spelling of either side; aliases do not count. An inactive parameter is one
-    whose controlling parameter has another value.
+    whose controlling parameter has another value, read as the ``ts`` dialect reads it.
     """
     rows = [
         (c.component_id, s, p.kind == "number", p.integer, [(k, spellings(k), [x.lower() for x in v]) for k, v in p.when.items()])
@@ -260,7 +301,7 @@ def param_flags(df: DataFrame, component_col: str = "component_id", key_col: str
     joined = df.withColumn("__values", values).withColumn("__texts", texts).join(
         F.broadcast(lookup), (F.col(component_col) == F.col("__c")) & (F.col(key_col) == F.col("__k")), "left"
     )
-    active = is_active(F.col("__values"), F.col("__texts"), F.col("__when"))
+    active = is_active(F.col("__values"), F.col("__texts"), F.col("__when"), js_str)
     return joined.select(
         *df.columns,
         F.when(F.col("__number"), F.col("__integer")).alias("is_integer"),

@@ -42,10 +42,13 @@ def _out(verdicts: DataFrame) -> DataFrame:
     return verdicts.select(*[F.col(c).cast("bigint") if c.endswith("_pos") else F.col(c) for c in verdicts.columns])
 
 
-def _configs(spark: SparkSession, sf_dir: str, table: str, key: str, component: str, config) -> DataFrame:
+def _rows(spark: SparkSession, sf_dir: str, table: str, key: str, component: str, config) -> DataFrame:
     config = F.expr(config) if isinstance(config, str) else config
-    rows = _table(spark, sf_dir, table).select(F.col(key).cast("string").alias("node_id"), F.lit(component).alias("component_id"), config.alias("config"))
-    return _out(validate.validate_configs(rows))
+    return _table(spark, sf_dir, table).select(F.col(key).cast("string").alias("node_id"), F.lit(component).alias("component_id"), config.alias("config"))
+
+
+def _configs(spark: SparkSession, sf_dir: str, table: str, key: str, component: str, config, dialect: str = "python") -> DataFrame:
+    return _out(validate.validate_configs(_rows(spark, sf_dir, table, key, component, config), dialect=dialect))
 
 
 def validate_dropout(spark, sf_dir):
@@ -61,9 +64,20 @@ def validate_conv_numeric(spark, sf_dir):
     return _configs(spark, sf_dir, "part", "p_partkey", "convolution-layer", text)
 
 
+def _padded() -> F.Column:
+    return F.concat(F.lit('{"filters":8,"kernelSize":3,"padding":'), _pick(PADDINGS, "p_partkey"), F.lit("}"))
+
+
 def validate_conv_padding(spark, sf_dir):
-    text = F.concat(F.lit('{"filters":8,"kernelSize":3,"padding":'), _pick(PADDINGS, "p_partkey"), F.lit("}"))
-    return _configs(spark, sf_dir, "part", "p_partkey", "convolution-layer", text)
+    return _configs(spark, sf_dir, "part", "p_partkey", "convolution-layer", _padded())
+
+
+def validate_conv_padding_ts(spark, sf_dir):
+    return _configs(spark, sf_dir, "part", "p_partkey", "convolution-layer", _padded(), "ts")
+
+
+def dialect_diff(spark, sf_dir):
+    return _out(validate.dialect_diff(_rows(spark, sf_dir, "part", "p_partkey", "convolution-layer", _padded())))
 
 
 LORA = """concat('{"rank":', CAST(value AS STRING), ',"alpha":', get_json_object(props, '$.k'), '}')"""
@@ -73,6 +87,10 @@ def validate_lora(spark, sf_dir):
     return _configs(spark, sf_dir, "events", "event_id", "lora-adapter", LORA)
 
 
+def validate_lora_ts(spark, sf_dir):
+    return _configs(spark, sf_dir, "events", "event_id", "lora-adapter", LORA, "ts")
+
+
 def stream_validate(spark, sf_dir):
     """The stream's rows, run over what is there now into the session's shared folder and read back."""
     schema = _table(spark, sf_dir, "events").schema
@@ -101,6 +119,10 @@ def validate_quantization_bits(spark, sf_dir):
     return _configs(spark, sf_dir, "part", "p_partkey", "quantization-aware", F.concat(F.lit('{"bits":'), _pick(BITS, "p_partkey"), F.lit("}")))
 
 
+def validate_quantization_bits_ts(spark, sf_dir):
+    return _configs(spark, sf_dir, "part", "p_partkey", "quantization-aware", F.concat(F.lit('{"bits":'), _pick(BITS, "p_partkey"), F.lit("}")), "ts")
+
+
 def key_variant_resolution(spark, sf_dir):
     return _configs(spark, sf_dir, "part", "p_partkey", "convolution-layer", _pick(VARIANTS, "p_partkey"))
 
@@ -189,14 +211,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         validate_output_optimizer, advisory_notes, validate_enum, validate_quantization_bits, key_variant_resolution,
         validate_architecture, resolve_component, normalize_padding, normalize_diagram, normalize_layers, param_flags,
         registry_components, registry_params, registry_diagnostics, severity_summary,
+        validate_conv_padding_ts, validate_lora_ts, validate_quantization_bits_ts, dialect_diff,
     )
     return {f.__name__: f for f in every}
 
 
-def _sql(rows: str, component: str, extra: str = "") -> str:
+def _sql(rows: str, component: str, extra: str = "", joint: str = "_") -> str:
     """Full verdict rows from ``rows``: node_id, pos, diag, sev, code, field, expected, got, message, hint."""
     return f"""SELECT {extra} node_id, '{component}' AS component_id, CAST(pos AS BIGINT) AS param_pos, CAST(diag AS BIGINT) AS diag_pos,
-      concat('parameter_', sev) AS type, sev AS severity, code, field, expected, got, concat('{component}: ', message) AS message, hint AS fix_hint FROM ({rows})"""
+      concat('parameter{joint}', sev) AS type, sev AS severity, code, field, expected, got, concat('{component}: ', message) AS message, hint AS fix_hint FROM ({rows})"""
 
 
 def _over(field: str, pos: int, bound: str, value: str) -> str:
@@ -249,17 +272,25 @@ def oracle_sql() -> dict[str, str]:
         (11, f"'PARAM_PADDING_BAD_EXPLICIT_VALUE', NULL, '''1''', 'explicit padding needs a non-negative integer or a list of non-negative integers, got ''1''', {explicit}"),
     ]
     values = ", ".join(f"({k}, {v})" for k, v in shapes)
-    padding = f"""SELECT {key}, 4 AS pos, 0 AS diag, 'error' AS sev, code, 'padding' AS field, expected, got, message, hint
-      FROM part JOIN (VALUES {values}) v(k, code, expected, got, message, hint) ON p_partkey % 12 = k"""
-    rank = "CAST(value AS VARCHAR)"
+    padded = lambda values: f"""SELECT {key}, 4 AS pos, 0 AS diag, 'error' AS sev, code, 'padding' AS field, expected, got, message, hint
+      FROM part JOIN (VALUES {values}) v(k, code, expected, got, message, hint) ON p_partkey % 12 = k"""
+    padding = padded(values)
+    bad_mode = "'PARAM_PADDING_BAD_MODE', NULL, 'undefined', 'padding.mode must be ''valid'', ''same'', or ''explicit'', got undefined', 'set padding.mode to one of valid|same|explicit'"
+    shapes_ts = dict(shapes) | {5: f"{typed} '2', 'padding must be a typed object {shape}, got 2', {hint}", 6: bad_mode, 7: bad_mode}
+    padding_ts = padded(", ".join(f"({k}, {v})" for k, v in shapes_ts.items()))
+    differ = " UNION ALL ".join(
+        f"SELECT * EXCLUDE (type), '{d}' AS dialect FROM ({_sql(padded(', '.join(f'({k}, {of[k]})' for k in (5, 6, 7))), 'convolution-layer')})"
+        for d, of in (("python", dict(shapes)), ("ts", shapes_ts))
+    )
     event = "CAST(event_id AS VARCHAR) AS node_id"
     alpha = "json_extract_string(props, '$.k')"
-    lora = _sql(f"""SELECT {event}, {_whole('rank', 0, rank)} FROM events WHERE value <> floor(value)
+    lora_rows = lambda rank: f"""SELECT {event}, {_whole('rank', 0, rank)} FROM events WHERE value <> floor(value)
       UNION ALL SELECT {event}, {_under('rank', 0, '1', rank)} FROM events WHERE value = floor(value) AND value < 1
       UNION ALL SELECT {event}, {_over('rank', 0, '256', rank)} FROM events WHERE value = floor(value) AND value > 256
       UNION ALL SELECT {event}, {_high('rank', 0, '128', rank)} FROM events WHERE value = floor(value) AND value > 128 AND value <= 256
       UNION ALL SELECT {event}, {_under('alpha', 1, '1', alpha)} FROM events WHERE CAST({alpha} AS BIGINT) < 1
-      UNION ALL SELECT {event}, {_over('alpha', 1, '512', alpha)} FROM events WHERE CAST({alpha} AS BIGINT) > 512""", "lora-adapter")
+      UNION ALL SELECT {event}, {_over('alpha', 1, '512', alpha)} FROM events WHERE CAST({alpha} AS BIGINT) > 512"""
+    lora = _sql(lora_rows("CAST(value AS VARCHAR)"), "lora-adapter")
     order = "CAST(o_orderkey AS VARCHAR) AS node_id"
     names, decay = "['adam', 'sgd', 'rmsprop', 'adamw', 'adagrad']", "CAST((o_custkey % 12) / 8.0::DOUBLE AS VARCHAR)"
     active = "o_orderpriority IN ('1-URGENT', '3-MEDIUM')"
@@ -305,5 +336,9 @@ def oracle_sql() -> dict[str, str]:
         "normalize_diagram": f"""SELECT p_partkey, concat('{{"v":1,"nodes":[7,{{"id":"a","data":{{"layer_type":"CONV2D","config":{{"padding":', new, '}}}}}},{{"data":{{"config":null}}}}]}}') AS normalized FROM part JOIN {new} ON p_partkey % 12 = k""",
         "normalize_layers": f"""SELECT p_partkey, concat('{{"layers":[{{"type":"conv2d","config":{{"padding":', new, '}}}},{{"type":"pooling","config":{{"padding":"same"}}}},{{"type":"conv2d","config":null}}]}}') AS normalized FROM part JOIN {new} ON p_partkey % 12 = k""",
         "param_flags": f"SELECT o_orderkey, is_integer, is_applicable FROM orders JOIN (VALUES {flags}) v(k, is_integer, is_applicable) ON o_orderkey % {len(FLAGS)} = k",
+        "validate_conv_padding_ts": _sql(padding_ts, "convolution-layer", joint=" "),
+        "validate_lora_ts": _sql(lora_rows("regexp_replace(CAST(value AS VARCHAR), '[.]0$', '')"), "lora-adapter", joint=" "),
+        "validate_quantization_bits_ts": _sql(f"SELECT {key}, {_enum('bits', 0, str(['4', '8']), bits)} FROM part WHERE p_partkey % 7 IN (4, 5)", "quantization-aware", joint=" "),
+        "dialect_diff": differ,
         "severity_summary": f"SELECT sev AS severity, code, count(*) AS n FROM ({dropout}) GROUP BY sev, code",
     }

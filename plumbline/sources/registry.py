@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.contracts import registry as R
@@ -19,15 +21,15 @@ def _g(x: float | None) -> str | None:
     return None if x is None else f"{x:g}"
 
 
-def param_rows() -> list[tuple]:
-    """Everything about a parameter that does not depend on data is worked out here, once."""
+def param_rows(bound: Callable[[float | None], str | None] = _g) -> list[tuple]:
+    """Everything about a parameter that does not depend on data is worked out here, once. bound: prints a bound."""
     return [
         (
             c.component_id, i, p.key, p.kind, p.required, p.low, p.high, p.warn_low, p.warn_high, p.integer, p.values,
             p.aliases, p.candidates,
             [(k, R.spellings(k), [v.lower() for v in vs]) for k, vs in p.when.items()],
             [(v.lower(), code) for v, code in p.notes],
-            _g(p.low), _g(p.high), _g(p.warn_low), _g(p.warn_high), str(p.values) if p.kind == "enum" else None,
+            bound(p.low), bound(p.high), bound(p.warn_low), bound(p.warn_high), str(p.values) if p.kind == "enum" else None,
         )
         for c in R.COMPONENTS for i, p in enumerate(c.params)
     ]

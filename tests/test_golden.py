@@ -5,6 +5,7 @@ import json
 import pytest
 
 from plumbline.contracts import registry as R
+from plumbline.functions.render import js_number
 from plumbline.operators import normalize, validate
 
 SHAPE = "{mode:'same'|'valid'|'explicit', value?}"
@@ -23,6 +24,7 @@ GOLDEN = [
     (CONV, '{"filters":2048,"kernelSize":3}', [("NUMBER_ABOVE_RECOMMENDED", "filters", "1024", "2048")]),
     (CONV, '{"filters":2049,"kernelSize":3}', [("NUMBER_ABOVE_MAX", "filters", "2048", "2049")]),
     (CONV, '{"filters":123456789012345678901234567890,"kernelSize":3}', [("NUMBER_ABOVE_MAX", "filters", "2048", "123456789012345678901234567890")]),
+    (CONV, '{"filters":2e20,"kernelSize":3}', [("NUMBER_ABOVE_MAX", "filters", "2048", "2e+20")]),
     (CONV, '{"KERNELSIZE":3,"filters":8}', [("REQUIRED_MISSING", "kernelSize", None, None)]),
     (CONV, '{"filters":8,"kernelSize":3,"activation":"none"}', [("INFO_LINEAR_ACTIVATION", "activation", None, "'none'")]),
     (CONV, '{"filters":8,"kernelSize":3,"activation":"Linear"}', [("ENUM_NOT_ALLOWED", "activation", "['none', 'relu', 'sigmoid', 'tanh', 'linear']", "'Linear'"), ("INFO_LINEAR_ACTIVATION", "activation", None, "'Linear'")]),
@@ -72,9 +74,36 @@ PADDINGS = [
 ]
 
 
-def verdicts(spark, rows):
+#: In the ts dialect: component, config, diagnostics
+GOLDEN_TS = [
+    (CONV, '{"filters":32.5,"kernelSize":true}', [("NUMBER_NOT_INTEGER", "filters", None, "32.5"), ("NUMBER_NOT_A_NUMBER", "kernelSize", None, "True")]),
+    (CONV, '{"filters":[1, {"a":2.0}, null, "x"],"kernelSize":3.0}', [("NUMBER_NOT_A_NUMBER", "filters", None, "[1, [object Object], None, 'x']")]),
+    (CONV, '{"filters":"it\'s","kernelSize":{}}', [("NUMBER_NOT_A_NUMBER", "filters", None, "'it's'"), ("NUMBER_NOT_A_NUMBER", "kernelSize", None, "[object Object]")]),
+    (CONV, '{"filters":12345678901234567890,"kernelSize":-0}', [("NUMBER_ABOVE_MAX", "filters", "2048", "12345678901234567000"), ("NUMBER_BELOW_MIN", "kernelSize", "1", "0")]),
+    (CONV, '{"filters":1e22,"kernelSize":1e400}', [("NUMBER_ABOVE_MAX", "filters", "2048", "1e+22"), ("NUMBER_NOT_INTEGER", "kernelSize", None, "Infinity")]),
+    (CONV, '{"filters":8,"kernelSize":3,"activation":["relu"]}', []),
+    (CONV, '{"filters":NaN,"kernelSize":3}', [("NUMBER_NOT_A_NUMBER", "filters", None, "NaN")]),
+    (CONV, '{"kernelSize":3}', [("REQUIRED_MISSING", "filters", None, None)]),
+    (OUT, '{"learning_rate":1e-9}', [("NUMBER_BELOW_MIN", "learningRate", "1e-8", "1e-9")]),
+    (OUT, '{"learning_rate":1e-6}', [("NUMBER_BELOW_RECOMMENDED", "learningRate", "0.00001", "0.000001")]),
+    (OUT, '{"vocabSize":2000000.0}', [("NUMBER_ABOVE_MAX", "vocabSize", "1000000", "2000000")]),
+    (OUT, '{"optimizer":["SGD"],"weight_decay":5}', [("ENUM_NOT_ALLOWED", "optimizer", "['adam', 'sgd', 'rmsprop', 'adamw', 'adagrad']", "['SGD']"), ("NUMBER_ABOVE_MAX", "weight_decay", "1", "5")]),
+    (OUT, '{"weight_decay":5}', []),
+    ("instance-normalization", '{"affine":false}', [("INFO_NO_NORMALIZATION_AFFINE", "affine", None, "False")]),
+    ("quantization-aware", '{"bits":8.0}', []), ("quantization-aware", '{"bits":[8]}', []),
+    ("quantization-aware", '{"bits":true}', [("ENUM_NOT_ALLOWED", "bits", "['4', '8']", "True")]),
+    ("dropout", '{"rate":1.50}', [("NUMBER_ABOVE_MAX", "rate", "1", "1.5")]),
+]
+#: padding, verdict without its prefix, in the ts dialect where it differs
+PADDINGS_TS = {
+    "2.0": ("NOT_TYPED", SHAPE, "2"), '{"mode":"explicit","value":2.0}': None, '{"mode":"explicit"}': ("BAD_EXPLICIT_VALUE", None, "undefined"),
+    "{}": ("BAD_MODE", None, "undefined"), **{x: ("BAD_MODE", None, "undefined") for x in ("[1,2]", "[1,-2]", "[]", "[1,2,3,4]")},
+}
+
+
+def verdicts(spark, rows, dialect="python"):
     frame = spark.createDataFrame([(str(i), c, t) for i, (c, t) in enumerate(rows)], "node_id string, component_id string, config string")
-    found = sorted(validate.validate_configs(frame).collect(), key=lambda r: (int(r["node_id"]), r["param_pos"], r["diag_pos"]))
+    found = sorted(validate.validate_configs(frame, dialect=dialect).collect(), key=lambda r: (int(r["node_id"]), r["param_pos"], r["diag_pos"]))
     return [[r for r in found if r["node_id"] == str(i)] for i in range(len(rows))]
 
 
@@ -100,6 +129,27 @@ def test_padding(spark):
     assert all(r["twice"] == r["normalized"] for r in again)
 
 
+def test_second_dialect(spark):
+    for (component, config, expected), got in zip(GOLDEN_TS, verdicts(spark, [g[:2] for g in GOLDEN_TS], "ts")):
+        assert [(r["code"].removeprefix("PARAM_"), r["field"], r["expected"], r["got"]) for r in got] == expected, (component, config)
+        assert all(r["type"] == f"parameter {r['severity']}" for r in got)
+    texts = [f'{{"filters":8,"kernelSize":3,"padding":{p[0]}}}' for p in PADDINGS]
+    for (padding, expected, _), got in zip(PADDINGS, verdicts(spark, [(CONV, t) for t in texts], "ts")):
+        mine = [(r["code"].removeprefix("PARAM_PADDING_"), r["expected"], r["got"]) for r in got]
+        expected = PADDINGS_TS.get(padding, expected)
+        assert mine == ([expected] if expected else []), padding
+    frame = spark.createDataFrame([(p, CONV, t) for p, t in zip((p[0] for p in PADDINGS), texts)], "node_id string, component_id string, config string")
+    differ = validate.dialect_diff(frame).collect()
+    assert {r["node_id"] for r in differ} == set(PADDINGS_TS) and {r["dialect"] for r in differ} == {"python", "ts"}
+    with pytest.raises(ValueError):
+        validate.validate_configs(frame, dialect="go")
+
+
+@pytest.mark.parametrize("x, text", [(0.1 + 0.2, "0.30000000000000004"), (1e21, "1e+21"), (123e18, "123000000000000000000"), (1e-7, "1e-7"), (1.5e-7, "1.5e-7"), (-5e-324, "-5e-324"), (1e-6, "0.000001"), (-0.0, "0"), (100.0, "100")])
+def test_js_numbers(x, text):
+    assert js_number(x) == text
+
+
 def test_documents(spark):
     nodes = [
         '{"id":1,"data":{"componentId":"dropout","layer_type":"dense","config":{"rate":2}}}', '{"data":{"config":{"componentId":"dropout","rate":2}}}',
