@@ -103,5 +103,133 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: A source's stream is its documents in the order of a digest; whole epochs, and a last one that ends at the target.
+MIXING_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size,
+         md5('0|' || coalesce(source, '') || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+  FROM documents
+), sources AS (
+  SELECT *, CASE (nth - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM sized GROUP BY source)
+), levels AS (
+  SELECT *, CAST((SELECT sum(source_size) FROM sources) - coalesce(sum(3 * source_size) OVER before, 0) AS BIGINT)
+            / CAST((SELECT sum(w) FROM sources) - coalesce(sum(w) OVER before, 0) AS BIGINT) AS level
+  FROM sources WINDOW before AS (ORDER BY source_size / w, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source AS of, source_size,
+         least(CAST(3 * source_size AS DOUBLE), w * (SELECT max(level) FROM levels WHERE level * w <= 3 * source_size)) AS target
+  FROM levels
+), placed AS (
+  SELECT s.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS take,
+         CAST(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.of
+)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size = 0 THEN 0 ELSE take // source_size * size + greatest(0, least(size, take % source_size - start)) END AS taken
+FROM placed
+"""
+
+#: Scores are sums over walks along links: of the share that starts at a seed, what each step passes on.
+URL_SQL = r"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, html,
+         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), ruled AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM parts
+), verdicts AS (
+  SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM ruled
+), seeds AS (
+  SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS good, avg(CASE WHEN ruled = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS bad
+  FROM verdicts WHERE host <> '' GROUP BY host
+), links AS (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT host AS src, translate(regexp_extract(link, '//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+    FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*((?:https?:)?//[^\s"''>]+)', 1)) AS link FROM parts)
+  ) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+), passed AS (
+  SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS out_w, n / sum(n) OVER (PARTITION BY dst) AS in_w FROM links
+), trust(host, score, k) AS (
+  SELECT host, (1 - 0.85::DOUBLE) * good, 0 FROM seeds WHERE good > 0
+  UNION ALL SELECT dst, 0.85::DOUBLE * out_w * score, k + 1 FROM trust JOIN passed ON src = host WHERE k < 30
+), distrust(host, score, k) AS (
+  SELECT host, (1 - 0.85::DOUBLE) * bad, 0 FROM seeds WHERE bad > 0
+  UNION ALL SELECT src, 0.85::DOUBLE * in_w * score, k + 1 FROM distrust JOIN passed ON dst = host WHERE k < 30
+)
+SELECT page_id, v.host, path, rule, coalesce(ruled,
+  CASE WHEN coalesce(d.score, 0) - coalesce(t.score, 0) > 0.5::DOUBLE * (1 - 0.85::DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict
+FROM verdicts v
+LEFT JOIN (SELECT host, sum(score) AS score FROM trust GROUP BY host) t ON t.host = v.host
+LEFT JOIN (SELECT host, sum(score) AS score FROM distrust GROUP BY host) d ON d.host = v.host
+"""
+
+#: Sketches are counts of logarithmic bins; a quantile is the value of the first bin that reaches its share.
+QUALITY_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS words FROM documents
+), windows AS (
+  SELECT rid, pos, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS three
+  FROM (SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS pos FROM docs) WINDOW o AS (PARTITION BY rid ORDER BY pos)
+), again AS (
+  SELECT rid, pos, three IS NOT NULL AND count(*) OVER (PARTITION BY rid, three) > 1 AS twice FROM windows
+), repeats AS (
+  SELECT rid, count(*) FILTER (twice OR coalesce(lag1, false) OR coalesce(lag2, false)) AS n FROM (
+    SELECT rid, twice, lag(twice) OVER o AS lag1, lag(twice, 2) OVER o AS lag2 FROM again WINDOW o AS (PARTITION BY rid ORDER BY pos)
+  ) GROUP BY rid
+), stats AS (
+  SELECT doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs) LEFT JOIN repeats USING (rid)
+), signals AS (
+  SELECT lang, source, unnest(['mean_word', 'symbols', 'dup_lines', 'repeats']) AS signal,
+         unnest([word_chars / n_words, n_symbols / n_words, n_dup_lines / greatest(n_lines, 1), n_repeat_words / n_words]) AS x
+  FROM stats WHERE n_words > 0
+), bins AS (
+  SELECT lang, source, signal, CASE WHEN x <= 1e-6 THEN -10000 ELSE ceil(ln(x) / ln(1.01::DOUBLE / 0.99)) END AS bin, count(*) AS n
+  FROM signals GROUP BY ALL
+), merged AS (
+  SELECT grouping(lang, source) AS level, lang, source, signal, bin, sum(n) AS n
+  FROM bins GROUP BY GROUPING SETS ((lang, source, signal, bin), (lang, signal, bin), (signal, bin))
+), ranked AS (
+  SELECT *, CASE WHEN bin = -10000 THEN 0 ELSE 2 * pow(1.01::DOUBLE / 0.99, bin) / (1.01::DOUBLE / 0.99 + 1) END AS x,
+         sum(n) OVER (PARTITION BY level, lang, source, signal ORDER BY bin) AS run, sum(n) OVER (PARTITION BY level, lang, source, signal) AS total
+  FROM merged
+), cuts AS (
+  SELECT level, lang, source, signal, max(total) AS total,
+         min(x) FILTER (run >= 0.9 * total) + 4 * (min(x) FILTER (run >= 0.9 * total) - min(x) FILTER (run >= 0.5 * total))
+         + CASE signal WHEN 'mean_word' THEN 4.0 WHEN 'symbols' THEN 0.1 WHEN 'dup_lines' THEN 0.3 ELSE 0.2 END AS cut
+  FROM ranked GROUP BY level, lang, source, signal
+), chosen AS (
+  SELECT a.lang, a.source, a.signal, CASE WHEN a.total >= 100 THEN a.cut WHEN b.total >= 100 THEN b.cut ELSE c.cut END AS cut
+  FROM (FROM cuts WHERE level = 0) a
+  JOIN (FROM cuts WHERE level = 1) b ON a.lang IS NOT DISTINCT FROM b.lang AND a.signal = b.signal
+  JOIN (FROM cuts WHERE level = 3) c ON a.signal = c.signal
+), wide AS (
+  SELECT lang AS l, source AS s, max(cut) FILTER (signal = 'mean_word') AS mean_word, max(cut) FILTER (signal = 'symbols') AS symbols,
+         max(cut) FILTER (signal = 'dup_lines') AS dup_lines, max(cut) FILTER (signal = 'repeats') AS repeats
+  FROM chosen GROUP BY lang, source
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         coalesce(word_chars / greatest(n_words, 1) > mean_word OR n_symbols / greatest(n_words, 1) > symbols
+           OR n_dup_lines / greatest(n_lines, 1) > dup_lines OR n_repeat_words / greatest(n_words, 1) > repeats, false) AS above
+  FROM stats LEFT JOIN wide ON lang IS NOT DISTINCT FROM l AND source IS NOT DISTINCT FROM s
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT above AS kept FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; the others' hashes, forests, flows and tokens have no counterpart in it."""
+    return {"op4_source_mixing": MIXING_SQL, "op7_url_filters": URL_SQL, "op9_quality_rules": QUALITY_SQL}
