@@ -33,9 +33,9 @@ from plumbline.llm.common import map_columns, text_bytes
 #: Token i is the character of this code point plus i: private use, so nothing joins or normalizes it.
 OFFSET = 0xF0000
 #: Pieces and words kept with their tokens by one worker (some 300 bytes each); beyond that the cache starts anew.
-CACHE = 1_250_000
+CACHE = 1_500_000
 #: Characters of a text handled at once, bytes of text to a result batch, and characters of words in one query.
-SEGMENT, PORTION, QUERY = 1 << 20, 2 << 20, 1 << 19
+SEGMENT, PORTION, QUERY = 1 << 20, 2 << 20, 1 << 20
 
 #: k packs rank, whether all occurrences may go at once, and position, so that its minimum is the leftmost best pair.
 #: The keyed recursion holds one row a word; the round number makes each changed word new to the next round.
