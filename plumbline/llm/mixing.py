@@ -89,7 +89,7 @@ def _slots(docs: DataFrame, shares: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, block: int = 4096, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, block: int = 4096, seed: int = 0, key: tuple[str, ...] = ()) -> DataFrame:
     """The mix: a row per stretch of words of one document in one slot.
 
     Columns: ``doc_id``, ``row`` (tells rows with one doc_id apart), ``source``, ``size``,
@@ -97,11 +97,12 @@ def mix(docs: DataFrame, block: int = 4096, seed: int = 0) -> DataFrame:
     which nothing is taken has one row, with nulls from ``slot`` on. Null texts have no words; a
     null source is a source, the last. Sources' streams are numbered in two levels (1/4096 of a
     source by hash, then documents), so a hot source is spread over that many keys. Repeated rows
-    are documents of their own; an empty table gives an empty mix.
+    are documents of their own; an empty table gives an empty mix. Columns named in ``key`` are carried
+    along, first.
     """
     words = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD)))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = cut_lineage(docs.select("doc_id", "source", words.cast("bigint").alias("size"), order.alias("order")))
+    sized = cut_lineage(docs.select(*key, "doc_id", "source", words.cast("bigint").alias("size"), order.alias("order")))
     share = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     per_epoch = F.ceil(F.col("source_size") / block)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("take") / F.col("source_size"))).otherwise(0)
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, block: int = 4096, seed: int = 0) -> DataFrame:
         .agg(F.sum("size").alias("n"))
         .select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(in_source), F.lit(0)).alias("before"))
     )
-    in_bucket = W.partitionBy("source", "bucket").orderBy("order", "doc_id", "size")
+    in_bucket = W.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", *key)
     placed = (
         sized.withColumn("bucket", bucket)
         .withColumn("row", F.row_number().over(in_bucket))
@@ -148,6 +149,7 @@ def mix(docs: DataFrame, block: int = 4096, seed: int = 0) -> DataFrame:
     joined = pieces.join(slots, ["at", "rank"], "left")
     taken = F.col("block").isNotNull()
     return joined.select(
+        *key,
         "doc_id",
         F.concat_ws(":", "order", "row").alias("row"),
         "source",
@@ -202,19 +204,20 @@ def mixed_documents(docs: DataFrame, block: int = 4096, seed: int = 0) -> DataFr
     """The mix as documents with the columns of ``docs``: a row per document and epoch.
 
     Whole texts but for the one document per source at which the target ends, which is cut there;
-    where ``docs`` has n_chars it is set anew. Needs a doc_id per row.
+    where ``docs`` has n_chars it is set anew. Rows are told apart by a key of their own, written with
+    them to the checkpoint folder, so rows that repeat a doc_id, or have none, are documents too.
     """
+    keyed = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
     parts = (
-        mix(docs, block, seed)
+        mix(keyed, block, seed, key=("__row",))
         .where("words > 0")
-        .groupBy("doc_id", "epoch", "size")
+        .groupBy("__row", "epoch", "size")
         .agg(F.min("first_word").alias("__first"), F.sum("words").alias("__words"))
-        .withColumnRenamed("doc_id", "__id")
     )
     parts = cut_lineage(parts)
-    whole = parts.where("__words = size").select("__id")
-    out = docs.join(whole, F.col("doc_id") == F.col("__id")).select(*[docs[c] for c in docs.columns])
-    rest = parts.where("__words < size")  # one row per source
-    part = docs.join(F.broadcast(rest), F.col("doc_id") == F.col("__id"))
+    whole = parts.where("__words = size").select("__row")
+    out = keyed.join(whole, "__row").select(*docs.columns)
+    rest = parts.where("__words < size").select("__row", "__first", "__words")  # one row per source
+    part = keyed.join(F.broadcast(rest), "__row")
     out = out.unionByName(_cut_words(part, docs.columns))
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out

@@ -258,6 +258,25 @@ def test_mixed_documents_hold_the_target(docs, rows):
     assert {d: n for d, n in planned.items() if n} == dict(words)
 
 
+def test_mixed_documents_of_repeated_and_missing_ids(spark):
+    rows = [(k, f"w{k} " * (10 + k % 7), None, "ab"[k % 2], None) for k in range(60)]
+    rows += [rows[3]] * 2 + [(5, "other " * 40, None, "a", None), (5, "other " * 13, None, "b", None)]
+    rows += [(None, f"n{k} " * 20, None, "a", None) for k in range(5)] + [(None, "n0 " * 20, None, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    planned = Counter()
+    for r in mixing.mix(docs, 64).where("words > 0").collect():
+        planned[r["doc_id"], r["source"], r["size"]] += r["words"]
+    words, sources = Counter(), Counter()
+    sizes = {(r[0], r[1].split()[0], r[3]): len(r[1].split()) for r in rows}
+    for r in mixing.mixed_documents(docs, 64).collect():
+        n = len(words_of(r["text"]))
+        words[r["doc_id"], r["source"], sizes[r["doc_id"], r["text"].split()[0], r["source"]]] += n
+        sources[r["source"]] += n
+    assert words == planned
+    takes = brute_targets({s: sum(len(words_of(r[1])) for r in rows if r[3] == s) for s in "ab"})
+    assert {s: round(takes[s]) for s in "ab"} == dict(sources)
+
+
 @pytest.fixture(scope="module")
 def encoding():
     import base64
