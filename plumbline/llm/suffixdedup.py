@@ -126,7 +126,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         again &= (d != d[first]) | (p != p[first])
         settled = np.zeros(len(by), bool)
         settled[by] = again
-        doc_s, a_s, b_s = _union(doc[settled], np.maximum(at[settled] - BEFORE, 0), b[settled])
+        doc_s, a_s, b_s = _union(doc[settled], np.maximum(at[settled] - BEFORE, 0), b[settled], LENGTH - 1)
         left = ~settled
         n = len(doc_s)
         spread = (doc_s * 31 + a_s).astype(np.int64) * np.int64(_ODD[31] >> np.uint64(1))
@@ -140,8 +140,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         }
 
 
-def _union(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Overlapping or touching ranges [a, b) of a document become one."""
+def _union(doc: np.ndarray, a: np.ndarray, b: np.ndarray, least: int = 0) -> tuple[np.ndarray, ...]:
+    """Ranges [a, b) of a document that share ``least`` bytes or more become one; those of 0 may just touch.
+
+    Strings of LENGTH bytes in the union lie in one of the ranges only if these share LENGTH - 1 bytes.
+    Ranges are longer than ``least``.
+    """
     if not len(doc):
         return doc.astype(np.int64), a.astype(np.int64), b.astype(np.int64)
     order = np.lexsort((a, doc))
@@ -149,7 +153,7 @@ def _union(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, .
     number = np.cumsum(np.concatenate(([0], (doc[1:] != doc[:-1]).astype(np.int64))))
     step = int(b.max()) + 2  # documents laid end to end, so that one running maximum serves all
     reach = np.maximum.accumulate(b + number * step)
-    new = np.concatenate(([True], (a + number * step)[1:] > reach[:-1]))
+    new = np.concatenate(([True], (a + number * step)[1:] + least > reach[:-1]))
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(doc)) - 1
     return doc[starts], a[starts], (reach - number * step)[ends]

@@ -56,6 +56,17 @@ def test_suffix_dedup(spark):
     assert check_repeats(spark, texts) > 100
 
 
+def test_suffix_dedup_across_the_joint_of_settled_ranges(spark):
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = {}
+    for k in range(40):
+        x, y, z = prose(170), prose(rng.randint(0, 98)), prose(170)
+        texts |= {100 * k: prose(120) + x + y + prose(120), 100 * k + 1: prose(120) + y + z + prose(120)}
+        texts |= {100 * k + 2: prose(120) + x + y + z + prose(120), 100 * k + 3: prose(120) + x[-50:] + y + z[:50] + prose(120)}
+    assert check_repeats(spark, texts, 1) > 80
+
+
 def test_suffix_dedup_of_long_texts_and_small_runs(spark, monkeypatch):
     monkeypatch.setattr(suffixdedup, "PIECE", 1500)
     monkeypatch.setattr(suffixdedup, "RUN", 60)
