@@ -114,10 +114,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Anchors of a batch. Of anchors with equal surroundings, all but the earliest are settled here and
     leave as plain ranges, so a passage in every document costs a row a batch."""
     for batch in batches:
-        ids = np.array([-(2**63) if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-        order = np.argsort(ids, kind="stable")
-        text, gram, around, at, b = anchors([batch.column(1)[int(k)].as_py() for k in order])
-        doc = ids[order][text]
+        ids, keys = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+        order = np.lexsort((keys, ids))
+        ids, keys = ids[order], keys[order]
+        text, gram, around, at, b = anchors([batch.column(2)[int(k)].as_py() for k in order])
+        doc = _numbers(ids, keys)[text]  # rows that repeat an id and text have one number
         by = np.argsort(gram * np.int64(_ODD[30] >> np.uint64(1)) + around, kind="stable")
         g, s, d, p = gram[by], around[by], doc[by], at[by]
         again = np.zeros(len(by), bool)
@@ -129,17 +130,41 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         doc_s, a_s, b_s = _union(doc[settled], np.maximum(at[settled] - BEFORE, 0), b[settled], LENGTH - 1)
         left = ~settled
         n = len(doc_s)
-        spread = (doc_s * 31 + a_s).astype(np.int64) * np.int64(_ODD[31] >> np.uint64(1))
+        row = np.zeros(int(doc.max()) + 1 if len(doc) else 0, np.int64)
+        row[doc] = text
+        row, row_s = row[doc[left]], row[doc_s]
+        spread = ((ids[row_s] ^ keys[row_s]) * 31 + a_s).astype(np.int64) * np.int64(_ODD[31] >> np.uint64(1))
         yield {
             "gram": np.concatenate((gram[left], spread)),
             "around": np.concatenate((around[left], np.zeros(n, np.int64))),
-            "doc_id": np.concatenate((doc[left], doc_s)),
+            "doc_id": np.concatenate((ids[row], ids[row_s])),
+            "key": np.concatenate((keys[row], keys[row_s])),
             "at": np.concatenate((at[left], a_s + BEFORE)).astype(np.int32),
             "b": np.concatenate((b[left], b_s)).astype(np.int32),
             "settled": np.concatenate((np.zeros(int(left.sum()), bool), np.ones(n, bool))),
         }
 
 
+def _numbers(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Numbers of the documents (id, key) of rows, in the order of id and key."""
+    order = np.lexsort((keys, ids))
+    a, b = ids[order], keys[order]
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(np.concatenate(([False], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(ids)])
+    return out
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """``doc_id`` (a null is the least bigint), ``key``, ``text`` (bytes) and ``given``, the id as it is.
+
+    The key, a hash of the text and of whether there is an id, tells apart texts that share an id, or have none.
+    """
+    given, text = F.col("doc_id").cast("bigint"), text_bytes()
+    return docs.select(
+        F.coalesce(given, F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text, given.isNull()).alias("key"), text, given.alias("given")
+    )
+
+
 def _union(doc: np.ndarray, a: np.ndarray, b: np.ndarray, least: int = 0) -> tuple[np.ndarray, ...]:
     """Ranges [a, b) of a document that share ``least`` bytes or more become one; those of 0 may just touch.
 
@@ -160,29 +185,31 @@ def _union(doc: np.ndarray, a: np.ndarray, b: np.ndarray, least: int = 0) -> tup
 
 
 def recurring(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``ranges`` of (at, b, open), from BEFORE bytes before ``at``, or the text's start, to ``b``.
+    """``doc_id``, ``key`` (see _identified) and ``ranges`` of (at, b, open), from BEFORE bytes before ``at``, or the text's start, to ``b``.
 
     A range that is not open is repeated as a whole. In an open one, with an anchor at ``at``, strings
     that hold the anchor may be repeated. Other bytes are not.
     """
     rows = map_columns(
-        docs, [F.col("doc_id").cast("bigint"), text_bytes()],
-        "gram bigint, around bigint, doc_id bigint, at int, b int, settled boolean", _anchor_rows,
+        _identified(docs), [F.col("doc_id"), F.col("key"), F.col("text")],
+        "gram bigint, around bigint, doc_id bigint, key bigint, at int, b int, settled boolean", _anchor_rows,
     )
     by_gram = W.partitionBy("gram")
-    ordered = W.partitionBy("gram", "around").orderBy("doc_id", "at")
+    ordered = W.partitionBy("gram", "around").orderBy("doc_id", "key", "at")
     judged = rows.select(
-        "doc_id", "at", "b", "settled",
+        "doc_id", "key", "at", "b", "settled",
         (F.row_number().over(ordered) == 1).alias("first"),
         F.first("doc_id").over(ordered).alias("d0"),
+        F.first("key").over(ordered).alias("key0"),
         F.first("at").over(ordered).alias("at0"),
         (F.min("around").over(by_gram) != F.max("around").over(by_gram)).alias("mixed"),
     )
-    repeat = F.col("settled") | ~F.col("first") & ((F.col("d0") != F.col("doc_id")) | (F.col("at0") != F.col("at")))
+    other = (F.col("d0") != F.col("doc_id")) | (F.col("key0") != F.col("key")) | (F.col("at0") != F.col("at"))
+    repeat = F.col("settled") | ~F.col("first") & other
     kept = judged.where(repeat | (F.col("first") & F.col("mixed")))
     return (
-        kept.select("doc_id", F.struct("at", "b", (~repeat).alias("open")).alias("r"))
-        .groupBy("doc_id")
+        kept.select("doc_id", "key", F.struct("at", "b", (~repeat).alias("open")).alias("r"))
+        .groupBy("doc_id", "key")
         .agg(F.collect_list("r").alias("ranges"))
     )
 
@@ -215,21 +242,23 @@ def _around(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the compressed bytes of the text: what the shuffles of whole texts move."""
+    """``doc_id``, ``key``, ``given`` and the compressed bytes of the text: what the shuffles of whole texts move."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield {"doc_id": batch.column(0), "packed": [pack(x.as_py()) for x in batch.column(1)]}
+            packed = [pack(x.as_py()) for x in batch.column(3)]
+            yield {"doc_id": batch.column(0), "key": batch.column(1), "given": batch.column(2), "packed": packed}
 
-    return map_columns(docs, [F.col("doc_id").cast("bigint"), text_bytes()], "doc_id bigint, packed binary", body)
+    read = [F.col(c) for c in ("doc_id", "key", "given", "text")]
+    return map_columns(_identified(docs), read, "doc_id bigint, key bigint, given bigint, packed binary", body)
 
 
 def _splitters(docs: DataFrame, marks: DataFrame, parts: int, sampled: int = 256, each: int = 64) -> np.ndarray:
     """Grams that cut the sort into ``parts`` ranges; from at most ``sampled`` documents, as they
     decide the sizes of tasks only."""
-    some = marks.where(F.exists("ranges", lambda r: r["open"])).orderBy(F.xxhash64("doc_id")).limit(sampled)
-    joined = docs.join(F.broadcast(some.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"))
+    some = marks.where(F.exists("ranges", lambda r: r["open"])).orderBy(F.xxhash64("doc_id", "key")).limit(sampled)
+    joined = _identified(docs).join(F.broadcast(some), ["doc_id", "key"])
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         rng = np.random.default_rng(0)
@@ -241,12 +270,12 @@ def _splitters(docs: DataFrame, marks: DataFrame, parts: int, sampled: int = 256
                     heads.append(text[k : k + GRAM])
             yield {"head": heads}
 
-    found = sorted(bytes(r[0]) for r in map_columns(joined, [text_bytes(), F.col("ranges")], "head binary", body).collect())
+    found = sorted(bytes(r[0]) for r in map_columns(joined, [F.col("text"), F.col("ranges")], "head binary", body).collect())
     cuts = sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
     return np.array(cuts, f"S{GRAM}")
 
 
-RUNS = "part int, shared binary, tails binary, docs binary, places binary, rights binary, lefts binary, before binary"
+RUNS = "part int, shared binary, tails binary, docs binary, keys binary, places binary, rights binary, lefts binary, before binary"
 
 
 def sorted_run(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,11 +299,11 @@ def _runs(batches: Iterator[pa.RecordBatch], splitters: np.ndarray) -> Iterator[
 
     def emit() -> dict:
         nonlocal held, size
-        suffix, right, before, left, doc, at = (np.concatenate(x) for x in zip(*held))
+        suffix, right, before, left, doc, key, at = (np.concatenate(x) for x in zip(*held))
         held, size = [], 0
         order, shared = sorted_run(suffix)
         suffix = suffix[order]
-        columns = [doc[order].astype(np.int64), at[order].astype(np.int32)]
+        columns = [doc[order].astype(np.int64), key[order].astype(np.int64), at[order].astype(np.int32)]
         columns += [x[order].astype(np.uint8) for x in (right, left, before)]
         out: dict[str, list] = {c.split()[0]: [] for c in RUNS.split(", ")}
         heads = np.ascontiguousarray(suffix[:, :GRAM]).view(f"S{GRAM}").ravel()
@@ -289,14 +318,15 @@ def _runs(batches: Iterator[pa.RecordBatch], splitters: np.ndarray) -> Iterator[
         return out
 
     for batch in batches:
-        for doc_id, packed, ranges in zip(*(batch.column(i) for i in range(3))):
+        for doc_id, key, packed, ranges in zip(*(batch.column(i) for i in range(4))):
             places = _open_anchors(ranges.as_py())
             if not len(places):
                 continue
             raw = unpack(packed.as_py())
             for k in range(0, len(places), RUN):
                 at = places[k : k + RUN]
-                held.append((*_around(raw, at), np.full(len(at), doc_id.as_py(), np.int64), at))
+                row = (np.full(len(at), x.as_py(), np.int64) for x in (doc_id, key))
+                held.append((*_around(raw, at), *row, at))
                 size += len(at)
                 if size >= RUN:
                     yield emit()
@@ -421,17 +451,20 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
     def found(rows: list[tuple[int, int, int]], columns: tuple[np.ndarray, ...], base: np.ndarray) -> dict:
         shared, run, k = (np.array(x, np.int64) for x in zip(*rows))
-        doc, at, right, left, before = (c[base[run] + k] for c in columns)
-        doc, start = repeats_of(shared, right.astype(np.int64), before, left.astype(np.int64), doc, at.astype(np.int64))
+        ids, keys, at, right, left, before = (c[base[run] + k] for c in columns)
+        number = _numbers(ids, keys)
+        row = np.empty(int(number.max()) + 1, np.int64)
+        row[number] = np.arange(len(number))
+        doc, start = repeats_of(shared, right.astype(np.int64), before, left.astype(np.int64), number, at.astype(np.int64))
         doc, a, b = _union(doc, start, start + LENGTH)
-        return {"doc_id": doc, "a": a.astype(np.int32), "b": b.astype(np.int32)}
+        return {"doc_id": ids[row[doc]], "key": keys[row[doc]], "a": a.astype(np.int32), "b": b.astype(np.int32)}
 
     def close() -> Iterator[dict]:
         sizes = [len(r["shared"]) for r in runs]
         base = np.cumsum([0, *sizes])[:-1]
         whole = lambda c, kind: np.concatenate([np.frombuffer(r[c], kind) for r in runs])
         columns = (
-            whole("docs", np.int64), whole("places", np.int32), whole("rights", np.uint8), whole("lefts", np.uint8),
+            whole("docs", np.int64), whole("keys", np.int64), whole("places", np.int32), whole("rights", np.uint8), whole("lefts", np.uint8),
             whole("before", np.uint8).reshape(-1, BEFORE),
         )
         rows: list[tuple[int, int, int]] = []
@@ -458,9 +491,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``spans`` (removed ranges as an array of start and end) and ``kept`` (binary).
 
     Strings never cross documents, and are judged on the input. A null text is empty; texts of under
-    LENGTH bytes lose nothing. doc_id tells documents apart: rows that repeat an id and text do not
-    make each other repeats; a null id sorts before all others. An empty table gives no rows; other
-    columns are ignored.
+    LENGTH bytes lose nothing. Documents are told apart by doc_id and text: rows that repeat both do not
+    make each other repeats. They are ordered by doc_id, a null before all others, and texts of one id by
+    a hash. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     marks = cut_lineage(recurring(docs))
@@ -468,19 +501,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     splitters = _splitters(docs, marks, wide)
     open_marks = marks.where(F.exists("ranges", lambda r: r["open"]))
     packed = _packed(docs)
-    joined = packed.join(open_marks, "doc_id").select("doc_id", "packed", "ranges")
+    joined = packed.join(open_marks, ["doc_id", "key"]).select("doc_id", "key", "packed", "ranges")
     runs = map_columns(joined, [F.col(c) for c in joined.columns], RUNS, lambda batches: _runs(batches, splitters))
     dealt = runs.repartition("part").sortWithinPartitions("part")
-    repeats = map_columns(dealt, [F.col(c) for c in dealt.columns], "doc_id bigint, a int, b int", _merge)
+    repeats = map_columns(dealt, [F.col(c) for c in dealt.columns], "doc_id bigint, key bigint, a int, b int", _merge)
     merged = cut_lineage(
-        repeats.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("more"))
+        repeats.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("more"))
     )
-    keyed = F.coalesce("doc_id", F.lit(-(2**63))).alias("__key")
-    final = (
-        _packed(docs).select("*", keyed)
-        .join(marks.withColumnRenamed("doc_id", "__key"), "__key", "left")
-        .join(merged.withColumnRenamed("doc_id", "__key"), "__key", "left")
-    )
+    final = packed.join(marks, ["doc_id", "key"], "left").join(merged, ["doc_id", "key"], "left")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -503,4 +531,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield out
 
     ddl = "doc_id bigint, n_bytes bigint, spans array<struct<start: int, end: int>>, kept binary"
-    return map_columns(final, [F.col("doc_id"), F.col("packed"), F.col("ranges"), F.col("more")], ddl, body)
+    return map_columns(final, [F.col("given"), F.col("packed"), F.col("ranges"), F.col("more")], ddl, body)

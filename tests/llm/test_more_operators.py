@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import htmltext, multisethash, suffixdedup, urlgraph
 from plumbline.llm.queries import queries
@@ -87,6 +88,27 @@ def test_suffix_dedup_of_repeated_rows_and_no_rows(spark):
     assert suffixdedup.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_suffix_dedup_of_texts_without_or_with_one_id(spark, partitions):
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [prose(k) for k in (110, 150, 300)]
+    texts = [prose(rng.randint(0, 200)) + rng.choice(shared) + prose(rng.randint(0, 200)) + rng.choice(shared) for _ in range(40)] + ["", prose(100)]
+    texts += [texts[0] + "x", texts[1]]
+    rows = [(rng.choice([None, None, 7, 7, k]), text) for k, text in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(partitions)
+    got = suffixdedup.remove_repeats(frame).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    keys = {(r["doc_id"], r["text"]): r["key"] for r in suffixdedup._identified(frame).withColumn("doc_id", F.col("given")).withColumn("text", F.col("text").cast("string")).collect()}
+    order = sorted(keys, key=lambda x: (x[0] is not None, x[0] or 0, keys[x]))
+    expected = brute_repeats({k: text.encode() for k, (_, text) in enumerate(order)})
+    held = lambda raw, spans: b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)]))
+    want = Counter()
+    for k, row in enumerate(order):
+        want[row[0], len(row[1]), held(*expected[k])] += rows.count(row)
+    assert Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in got) == want
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_loser_tree_merges_without_comparing_known_prefixes(seed):
     rng = random.Random(seed)
