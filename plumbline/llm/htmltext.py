@@ -42,14 +42,24 @@ ENDS_P = frozenset(
 )
 #: An open element of the first kind ends where one of the second starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Words in class, id or role names.
-BAD_NAMES = re.compile(
-    r"(?:^|[\s_\-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|"
+#: Class, id or role names of boilerplate, by itself or with more words ("site-footer"). Names that tell what an
+#: element has, or what it is tagged with, say nothing of its text.
+_BAD = (
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|"
     r"cookies?|consent|gdpr|notice|alert|popup|modal|overlay|comments?|commentlist|disqus|replies|respond|reviews?|share|sharing|social|"
     r"related|recommend\w*|newsletter|subscribe|signup|login|search\w*|pag(?:er|ination)|widget|toolbar|tags?|copyright|legal|"
-    r"disclaimer|complementary|navigation|contentinfo)(?:$|[\s_\-])",
+    r"disclaimer|complementary|navigation|contentinfo)"
+)
+BAD_NAME = re.compile(_BAD, re.I)
+BAD_PART = re.compile(
+    rf"(?!(?:has|have|with|without|no|not|is|in|tag|tags|category|cat|topic|format|type|single|page|post)[_\-])"
+    rf"(?:[\w\-]*[_\-])?{_BAD}(?:[_\-][\w\-]*)?",
     re.I,
 )
+#: Elements whose names say nothing of single blocks.
+WHOLE = frozenset("html body main article".split())
+#: What it costs to call a block content that is hidden, or in an element with such a name, or with such a word in a name.
+NAMED_COST = {-1: 14.0, -2: 8.0, -3: 40.0}
 GOOD_NAMES = re.compile(r"(?:^|[\s_\-])(?:article\w*|content|entry|post|story|main|body|text)(?:$|[\s_\-])", re.I)
 
 
@@ -66,10 +76,13 @@ def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; markup, comments, scripts and hidden elements are left out.
 
     zone: -1 inside an element that frames pages, 1 inside an article, 0 else (the framing wins).
+    named: a key of NAMED_COST, 1 in an element with a name of articles, or 0. Names of boilerplate do not
+    count on an element that holds most of the page's text, unless the page has an article outside it.
     """
     out: list[Block] = []
-    # name, zone, named, number, whether inside a link
-    stack: list[tuple[str, int, int, int, bool]] = [("", 0, 0, 0, False)]
+    marked: list[tuple[tuple[int, int], ...]] = []  # of each block: (number, kind) of the elements around it with bad names
+    # name, zone, named, number, whether inside a link, marks
+    stack: list[tuple[str, int, int, int, bool, tuple[tuple[int, int], ...]]] = [("", 0, 0, 0, False, ())]
     parts: list[str] = []
     linked = number = 0
     at, size = 0, len(page)
@@ -81,6 +94,7 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 out.append(Block(text, place[1], place[3], place[0], linked, place[2]))
+                marked.append(place[5])
             parts, linked = [], 0
 
     def add(text: str) -> None:
@@ -138,28 +152,56 @@ def blocks_of(page: str) -> list[Block]:
             if name in starts and stack[-1][0] == closed:
                 stack.pop()
         top = stack[-1]
-        zone, named = top[1], top[2]
+        zone, named, marks = top[1], top[2], top[5]
         if name in OFF:
             zone = -1
         elif name in ON and zone == 0:
             zone = 1
         if attributes:
             if _HIDDEN.search(attributes):
-                named = -1
-            for m in _HINT.finditer(attributes):
-                value = m[1] or m[2] or m[3] or ""
-                if BAD_NAMES.search(value):
-                    named = -1
-                elif named == 0 and GOOD_NAMES.search(value):
+                named = -3
+            kind = 0
+            for m in _HINT.finditer(attributes) if named != -3 else ():
+                names = (m[1] or m[2] or m[3] or "").split()
+                if name not in WHOLE and kind != -1:
+                    if any(BAD_NAME.fullmatch(x) for x in names):
+                        kind = -1
+                    elif any(BAD_PART.fullmatch(x) for x in names):
+                        kind = -2
+                if named == 0 and any(GOOD_NAMES.search(x) for x in names):
                     named = 1
+            if kind:
+                marks = (*marks, (number + 1, kind))
         number += 1
-        stack.append((name, zone, named, number, top[4] or name == "a"))
+        stack.append((name, zone, named, number, top[4] or name == "a", marks))
         if len(stack) > 2000:  # a page of unclosed tags: deeper nesting adds nothing to what is known
             del stack[1000:1900]
     flush()
+    _judge_marks(out, marked)
     return out
 
 
+def _judge_marks(blocks: list[Block], marked: list[tuple[tuple[int, int], ...]]) -> None:
+    """Sets ``named`` of the blocks inside marked elements that hold less than most of the page's text."""
+    if not any(marked):
+        return
+    total = framed = 0
+    held: dict[int, int] = {}
+    framed_in: dict[int, int] = {}
+    for block, marks in zip(blocks, marked):
+        if block.zone >= 0 and block.named != -3:
+            n = len(block.text)
+            total += n
+            framed += block.zone > 0
+            for k, _ in marks:
+                held[k] = held.get(k, 0) + n
+                framed_in[k] = framed_in.get(k, 0) + (block.zone > 0)
+    for block, marks in zip(blocks, marked):
+        kinds = [kind for k, kind in marks if 2 * held.get(k, 0) <= total or framed_in[k] < framed]
+        if kinds and block.named != -3:
+            block.named = max(kinds)  # -1, a whole name, before -2
+
+
 def costs(block: Block, framed: bool = False) -> tuple[float, float]:
     """(cost of calling it boilerplate, cost of calling it content). framed: the page marks its article elsewhere."""
     n = len(block.text)
@@ -178,7 +220,7 @@ def costs(block: Block, framed: bool = False) -> tuple[float, float]:
     if block.zone < 0:
         boiler += 40.0
     if block.named < 0:
-        boiler += 40.0
+        boiler += NAMED_COST[block.named]
     return content, boiler
 
 

@@ -156,6 +156,30 @@ def test_html_without_article_elements():
     htmltext.main_text("<p " + '"' * 20001)
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<body><article class='post hentry tag-python'>", "</article>"),
+        ("<body class='single right-sidebar'><div>", "</div>"),
+        ("<body><div class='post has-header-image with-comments'>", "</div>"),
+        ("<body><main class='search'><div>", "</div></main>"),
+        ("<body><div class='layout right-sidebar'><div>", "</div></div>"),
+        ("<html class='no-sidebar'><body><div id=page-header>Name</div><div class='widget'><article>", "</article></div>"),
+    ],
+)
+def test_html_names_on_layout_do_not_empty_the_page(before, after):
+    prose = "This is a sentence of the story, and it goes on for a while. Another one follows it here."
+    rest = "<div class='sidebar'><p>Some text of the side, with a sentence.</p></div><div class='site-footer'><p>All rights are reserved here.</p></div>"
+    rest += "<ul class='tags'><li>python</li></ul><div style='display:none' class=content><p>Nobody sees this. It is hidden.</p></div>"
+    assert htmltext.main_text(f"{before}<p>{prose}</p><p>{prose}</p><p>{prose}</p>{after}{rest}") == " ".join([prose] * 3)
+
+
+def test_html_comments_beside_a_short_article():
+    prose = "This is a sentence of the story. Another one follows it here."
+    comments = "".join(f"<p>I liked number {k} very much. Thank you for it.</p>" for k in range(30))
+    assert htmltext.main_text(f"<article><p>{prose}</p></article><section class='comments'>{comments}</section>") == prose
+
+
 def test_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):
