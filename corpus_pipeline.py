@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, mixing, quality, secrets, simhash
+from plumbline.llm import bpe, mixing, neardup, quality, secrets
 
 
 #: Bytes of an Arrow batch, unless the session names its own: workers and JVM each hold a batch and its results.
@@ -36,9 +36,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least doc_id."""
+    """One document of each group of near duplicates (sets of 5-word shingles with a likeness of 0.8 or more) stays:
+    the one with the least doc_id."""
     _small_batches(spark)
-    return simhash.keep_representatives(docs)
+    return neardup.keep_first(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,9 +3,9 @@
 A fingerprint is the bitwise majority of the XXH64 hashes of a document's word shingles. To find
 all pairs within ``radius`` differing bits, the 64 bits are cut into segments, and each segment i
 gets a ball radius r_i with sum(r_i + 1) > radius: of two linked fingerprints, at least one
-segment i then differs in at most r_i bits. Every distinct fingerprint is filed under the value of
-each segment and looks up all values of that segment within its ball; what it finds there is
-verified on all 64 bits. Only a spanning forest of each task's links leaves the task, and the
+segment i then differs in at most r_i bits. Every distinct fingerprint is filed under all values of
+each segment within half its ball (rounded down) and looks up those within the other half; what it
+finds there is verified on all 64 bits. Only a spanning forest of each task's links leaves the task, and the
 classes are the components of those forests.
 """
 
@@ -63,7 +63,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def _probe(seg: int, value: Column) -> Callable[[Column], Column]:
-    return lambda mask: F.struct(F.lit(seg).alias("seg"), value.bitwiseXOR(mask).alias("val"), (mask == 0).alias("filed"))
+    return lambda mask: F.struct(
+        F.lit(seg).alias("seg"), value.bitwiseXOR(mask["m"]).alias("val"), mask["filed"].alias("filed")
+    )
 
 
 def _probes(scheme: list[tuple[int, int]]) -> Column:
@@ -71,8 +73,8 @@ def _probes(scheme: list[tuple[int, int]]) -> Column:
     out, shift = [], 0
     for i, (width, radius) in enumerate(scheme):
         value = F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND((1 << width) - 1)
-        masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
-        ball = F.array(*[F.lit(m).cast("bigint") for m in masks])
+        masks = [(sum(1 << b for b in bits), r <= radius // 2) for r in range((radius + 1) // 2 + 1) for bits in combinations(range(width), r)]
+        ball = F.array(*[F.struct(F.lit(m).cast("bigint").alias("m"), F.lit(filed).alias("filed")) for m, filed in masks])
         out.append(F.transform(ball, _probe(i, value)))
         shift += width
     return F.concat(*out)
@@ -177,16 +179,9 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, small: int = 48) -> I
         yield linked(*rest)
 
 
-def near_links(fps: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
-    """Forests of links ``a``, ``b`` (reps) between the distinct fingerprints ``fp`` with ``rep``.
-
-    A bucket with more than ``block`` filed rows, or look-ups, is dealt out in cells: each filed
-    block meets each block of look-ups in some task, so nothing is capped and no task grows with a
-    bucket. Memory of a task: one cell.
-    """
-    n = fps.count()
-    scheme = next(s for most, s in SCHEMES if n <= most)
-    rows = fps.select("fp", "rep", F.explode(_probes(scheme)).alias("p")).select("p.seg", "p.val", "p.filed", "fp", "rep")
+def _dealt(fps: DataFrame, scheme: list[tuple[int, int]], block: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """``seg``, ``val``, ``cell``, ``filed``, ``fp``, ``rep`` and ``more``, sorted by bucket and cell: who may meet whom."""
+    rows = fps.select("fp", "rep", *more, F.explode(_probes(scheme)).alias("p")).select("p.seg", "p.val", "p.filed", "fp", "rep", *more)
     full = (
         rows.groupBy("seg", "val")
         .agg(F.count_if("filed").alias("t"), F.count(F.lit(1)).alias("q"))
@@ -199,14 +194,25 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     hot = (
         rows.join(full, ["seg", "val"])
         .withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-        .select("seg", "val", (i * F.col("cells") + j + 1).cast("bigint").alias("cell"), "filed", "fp", "rep")
+        .select("seg", "val", (i * F.col("cells") + j + 1).cast("bigint").alias("cell"), "filed", "fp", "rep", *more)
     )
     if full.isEmpty():
         dealt = rows.withColumn("cell", F.lit(0).cast("bigint"))
     else:
         dealt = rows.join(full, ["seg", "val"], "left_anti").withColumn("cell", F.lit(0).cast("bigint")).unionByName(hot)
-    dealt = dealt.select("seg", "val", "cell", "filed", "fp", "rep")
-    dealt = dealt.repartition("seg", "val", "cell").sortWithinPartitions("seg", "val", "cell")
+    dealt = dealt.select("seg", "val", "cell", "filed", "fp", "rep", *more)
+    return dealt.repartition("seg", "val", "cell").sortWithinPartitions("seg", "val", "cell")
+
+
+def near_links(fps: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
+    """Forests of links ``a``, ``b`` (reps) between the distinct fingerprints ``fp`` with ``rep``.
+
+    A bucket with more than ``block`` filed rows, or look-ups, is dealt out in cells: each filed
+    block meets each block of look-ups in some task, so nothing is capped and no task grows with a
+    bucket. Memory of a task: one cell.
+    """
+    n = fps.count()
+    dealt = _dealt(fps, next(s for most, s in SCHEMES if n <= most), block)
     return map_columns(
         dealt, [F.col(c) for c in dealt.columns], "a bigint, b bigint", lambda batches: _links(batches, radius)
     )

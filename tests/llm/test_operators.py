@@ -277,6 +277,62 @@ def test_mixed_documents_of_repeated_and_missing_ids(spark):
     assert {s: round(takes[s]) for s in "ab"} == dict(sources)
 
 
+def brute_kept(rows, shingle=5, similarity=0.8):
+    """Rows that stay: all pairs of sets compared, classes by union."""
+    sets = []
+    for r in rows:
+        words = (r[1] or "").lower().encode().split()
+        sets.append({b" ".join(words[k : k + shingle]) for k in range(max(len(words) - shingle + 1, 1))} if words else set())
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x == y or len(x & y) >= similarity * len(x | y) > 0:
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[root(i)] = min(r[0], least.get(root(i), r[0]))
+    return [r for i, r in enumerate(rows) if r[0] is None or r[0] == least[root(i)]]
+
+
+def near_rows(seed=11):
+    """Rows with copies of likeness 0.80 to 0.9 (one changed word costs five shingles), and rows just below 0.8."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows = []
+    for k in range(60):
+        words = [word() for _ in range(180)]
+        rows.append((10 * k, " ".join(words), None, "a", None, None, None))
+        for i, changes in enumerate([1, 2, 3, 5, 8]):
+            copy = list(words)
+            for at in range(10, 10 + 20 * changes, 20):
+                copy[at] = word()
+            rows.append((10 * k + 1 + i, " ".join(copy), None, "ab"[k % 2], None, None, None))
+    return rows
+
+
+def test_near_dedup_stage_keeps_one_of_likeness_above_the_limit(spark, empty):
+    import corpus_pipeline
+
+    rows = near_rows() + make_rows(120, 5)
+    rows = [(r[0] + 5000 if r in rows[360:] else r[0], *r[1:]) for r in rows]
+    rows += [(None, rows[0][1], *rows[0][2:]), (None, None, *rows[0][2:]), (3, "another text under an id that is taken " * 3, *rows[0][2:])]
+    docs = spark.createDataFrame(rows, DDL).repartition(4)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())
+    want = Counter((r[0], r[1]) for r in brute_kept(rows))
+    assert sum((want - got).values()) == 0  # nothing goes that has no copy
+    assert sum((got - want).values()) <= 3, got - want  # recall of the candidates near the limit
+    assert corpus_pipeline.near_dedup_stage(spark, empty, "").count() == 0
+
+
 @pytest.fixture(scope="module")
 def encoding():
     import base64
