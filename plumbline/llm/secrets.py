@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are strings in the published shape of a key, long tokens that mix character classes, and
-values assigned to a name such as ``password``. Each becomes a row of features: length, character
+Candidates are strings in the published shape of a key, whole blocks of private keys, passwords in
+urls, long tokens that mix character classes, values assigned to a name such as ``password``, and
+values that mix letters and digits after any other name. Each becomes a row of features: length, character
 transitions, dictionary coverage, what kind of path it stands in, and the words beside it. A forest
 of decision trees, grown here from labelled findings, gives the share of trees that call it a secret.
 """
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_columns
 
+#: A url with a password is a candidate by itself, not the value of a name.
+_WITH_PASSWORD = r"[A-Za-z][A-Za-z0-9+.\-]{0,30}://[^\s/:@\"'<>]*:[^\s/@\"'<>]+@"
 #: Published shapes of keys and tokens.
 SHAPES = {
     "aws_key_id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
@@ -27,11 +30,17 @@ SHAPES = {
     "slack_token": r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9\-]{10,}",
     "stripe_key": r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[A-Za-z0-9]{16,}",
     "jwt": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?",
-    "assigned": r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth[_\-]?key|credential)s?"
-    r"[\"']?\s{0,3}(?::=|[:=])\s{0,3}[\"']?(?P<value>[^\s\"'<>,;]{8,})",
-    "long_token": r"(?<![A-Za-z0-9+/=_\-])(?=[A-Za-z+/=_\-]*[0-9])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-z0-9+/_\-])",
+    "private_key": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?s:(?:(?!-----BEGIN ).)*?)-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:\s*[A-Za-z\-]+: [^\n]*\n)*[A-Za-z0-9+/=\s]*)",
+    "url_password": r"://[^\s/:@\"'<>]*:(?P<in_url>[^\s/@\"'<>]{3,})@",
+    "assigned": r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|key|credential)s?(?:[_\-][A-Za-z0-9_\-]{0,32})?"
+    rf"[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?(?!{_WITH_PASSWORD})(?P<value>[^\s\"'<>,;]{{8,}})",
+    "valued": rf"(?<=[A-Za-z0-9_\"'\s][:=])[ \t]{{0,3}}[\"']?(?!{_WITH_PASSWORD}|//)"
+    r"(?=[^\s\"'<>,;]{0,256}[0-9])(?=[^\s\"'<>,;]{0,256}[A-Za-z])(?P<given>[^\s\"'<>,;]{12,})",
+    "long_token": r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/=_\-]*[0-9])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-z0-9+/_\-])",
 }
+#: The part of a candidate that is the value.
+INNER = {"url_password": "in_url", "assigned": "value", "valued": "given"}
 SCAN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SHAPES.items()))
 
 #: Words that make a candidate likelier, and less likely, to be a secret.
@@ -60,7 +69,7 @@ _CLASS = bytes(
 )
 FEATURES = (
     "length", "entropy", "transitions", "digits", "uppers", "others", "hex", "vowel_runs", "coverage", "slashes", "dots",
-    "dashes", "in_url", "word_for", "word_against", "assigned", "shaped",
+    "dashes", "in_url", "word_for", "word_against", "assigned", "shaped", "url_password",
 )
 
 
@@ -77,13 +86,14 @@ def features(kind: str, value: str, before: str, after: str) -> list[float]:
     vowels = len(re.findall(r"[aeiouy]+[bcdfghjklmnpqrstvwxz]{1,2}", lower)) / n
     near = re.findall(r"[a-z0-9_]+", before.lower()[-48:])[-4:]
     around = near + re.findall(r"[a-z0-9_]+", after.lower())[:2]
-    for_it = any(w.strip("_").rstrip("s") in FOR or w.endswith(("_key", "_token", "_secret", "password")) for w in around)
+    for_it = any(w.strip("_").rstrip("s") in FOR or w.endswith(("key", "_token", "_secret", "password")) for w in around)
     against = any(w.strip("_") in AGAINST or w.endswith(("_id", "_hash")) for w in around)
     return [
         n, entropy, changes, classes.count(2) / n, classes.count(1) / n, classes.count(3) / n,
         float(bool(re.fullmatch(r"[0-9a-fA-F\-]+", value))), vowels, covered, value.count("/"), value.count("."),
         value.count("-") + value.count("_"), float("://" in before[-48:] or before[-1:] in "/\\" and before != ""),
-        float(for_it), float(against), float(kind == "assigned"), float(kind not in ("assigned", "long_token")),
+        float(for_it), float(against), float(kind == "assigned"), float(kind not in ("assigned", "valued", "long_token", "url_password")),
+        float(kind == "url_password"),
     ]
 
 
@@ -101,7 +111,7 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
     for k in range(n):
         before, after, label = prose() + " ", " " + prose(), k % 2
         if label:
-            c = int(rng.integers(0, 8))
+            c = int(rng.integers(0, 11))
             if c == 0:
                 kind, value = "aws_key_id", "AKIA" + of(upper + digits, 16)
             elif c == 1:
@@ -116,11 +126,21 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
                 word = pick(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "API-KEY", "Password", "credential"])
                 value = pick([lambda: of(digits + "abcdef", int(rng.integers(12, 65))), lambda: of(lower + upper + digits, int(rng.integers(10, 41))), lambda: of(lower + upper + digits + "!@#%^*-_", int(rng.integers(8, 25)))])()
                 kind, before = "assigned", before + word + pick(["=", " = ", ": ", ' = "', '="'])
+            elif c in (8, 9):
+                word = pick(["SECRET_KEY", "ENCRYPTION_KEY", "secret_key", "AccountKey", "signing_key", "db_password", "ACCESS_TOKEN", "client_secret", "SharedAccessKey", "private-key", "PASSWORD_PROD"])
+                value = pick([lambda: of(digits + "abcdef", int(rng.integers(24, 65))), lambda: of(lower + upper + digits + "+/", int(rng.integers(38, 86))) + pick(["", "=", "=="]), lambda: of(lower + upper + digits + "!@#%^*-_", int(rng.integers(8, 33))), lambda: of(lower + upper + digits, int(rng.integers(10, 50)))])()
+                kind, before = "assigned", before + word + pick(["=", " = ", ": ", ' = "', '="', " = '", "='"])
+            elif c == 10 and rng.random() < 0.5:
+                kind, value = "url_password", pick([lambda: of(lower + upper + digits, int(rng.integers(6, 25))), lambda: of(lower + upper + digits + "!$%^*-_", int(rng.integers(8, 25))), lambda: name() + of(digits, 3)])()
+                before, after = before + pick(["postgres", "mysql", "https", "redis", "mongodb+srv", "amqp"]) + "://" + pick(["app", "admin", "root", "", name()]) + ":", "@" + pick(["db", "localhost", name() + ".example.com"]) + "/" + name()
+            elif c == 10:
+                kind, value = "valued", of(lower + upper + digits + pick(["", "+/", "!#%^*-_"]), int(rng.integers(20, 65)))
+                before += pick([name() + "_auth", "DB_PASS", "signing", "webhook", "salt", "bearer", "login"]) + pick(["=", " = ", ": ", ' = "'])
             else:
                 value = of(lower + upper + digits + pick(["", "+/", "-_"]), int(rng.integers(32, 65)))
                 kind, before = "long_token", before + pick(["Bearer ", "secret ", "auth key ", "token ", "private key "])
         else:
-            c = int(rng.integers(0, 8))
+            c = int(rng.integers(0, 11))
             kind = "long_token"
             if c == 0:
                 value, before = of(digits + "abcdef", pick([32, 40, 64])), before + pick(["commit ", "sha256:", "md5 ", "checksum ", "digest: ", "hash ", ""])
@@ -137,6 +157,16 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
                 word = pick(["password", "token", "secret", "api_key", "pwd"])
                 value = pick([lambda: "<" + name() + ">", lambda: "your_" + name() + "_here", lambda: name() + "." + name() + "." + name(), lambda: "".join(pick(syllables) for _ in range(5)), lambda: "x" * int(rng.integers(8, 20)), lambda: "${" + name().upper() + "_" + name().upper() + "}", lambda: "get_" + name() + "()"])()
                 kind, before = "assigned", before + word + pick(["=", " = ", ": "])
+            elif c == 8:
+                kind, value = "url_password", pick(["password", "<" + name() + ">", "${" + name().upper() + "}", "pass", "your_" + name(), "xxxx", "****", "$" + name().upper(), "{" + name() + "}"])
+                before, after = before + pick(["postgres", "mysql", "https", "redis"]) + "://" + pick(["user", "username", name()]) + ":", "@" + pick(["host", "localhost", name()]) + "/" + name()
+            elif c == 9:
+                kind = "valued"
+                value = pick([lambda: name() + "-" + of(digits, 4) + "-" + name(), lambda: name() + "." + name() + of(digits, 2) + "." + name(), lambda: "".join(pick(syllables) for _ in range(6)) + of(digits, 2), lambda: of(digits, 4) + "-" + of(digits, 2) + "-" + of(digits, 2) + "T" + of(digits, 2) + ":" + of(digits, 2) + "Z", lambda: name() + "(" + name() + of(digits, 1) + "," + name() + ")", lambda: "/" + name() + "/" + name() + of(digits, 2) + "?" + name(), lambda: of(digits + "abcdef", pick([32, 40, 64])), lambda: "sha256-" + of(lower + upper + digits + "+/", 43) + "=", lambda: "https://" + name() + ".com/" + name() + "/" + of(digits, 5)])()
+                before += pick([name(), "commit", "sha256", "etag", "id", "version", "href", "integrity", "build", "time"]) + pick(["=", " = ", ": ", '="', ":"])
+            elif c == 10:
+                kind, before = "assigned", before + pick(["key", "sort_key", "primary_key", "foreign_key", "keys", "monkey", "Key", "public_key_id", "token_type"]) + pick(["=", " = ", ": ", ' = "'])
+                value = pick([lambda: name() + "_" + name() + pick(["", of(digits, 1)]), lambda: name() + "." + name(), lambda: "".join(pick(syllables) for _ in range(5)), lambda: "/" + name() + "/" + name() + "/" + name(), lambda: name() + "[" + name() + "]", lambda: "https://" + name() + ".com/" + name(), lambda: name() + "-" + name() + "-" + of(digits, 2)])()
             elif c == 6:
                 value, before = "-".join("".join(pick(syllables) for _ in range(2)) for _ in range(4)) + "-" + of(digits, 2), before + pick(["/", "page ", ""])
             else:
@@ -193,8 +223,8 @@ def train(findings: list[tuple[str, str, str, str, int]]) -> Forest:
 def candidates(text: str) -> Iterator[tuple[int, int, str, str, str, str]]:
     """(start, end, kind, value, before, after) of the candidates of one text, from left to right."""
     for m in SCAN.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "value" else "assigned"
-        group = "value" if m["assigned"] else kind
+        kind = m.lastgroup
+        group = INNER.get(kind, kind)
         start, end = m.span(group)
         yield start, end, kind, m[group], text[max(0, start - 64) : start], text[end : end + 48]
 
