@@ -71,7 +71,7 @@ STAGES = [
     ("byte-level BPE", bpe_stage),
 ]
 
-#: The last stage's ids can't be expressed in SQL; tests hold run() against a brute-force version.
+#: The last stage's ids can't be expressed in SQL; tests hold near_dedup_stage and the mix, not run(), against brute-force versions.
 ORACLE_SQL = None
 
 
