@@ -2,9 +2,16 @@
 
 Signals of a document are filed in logarithmic bins (the DDSketch of Masson et al.): the counts of
 bins are a quantile sketch with a bounded relative error that merges by addition, in any order,
-with the same result. Sketches per language and source give the cutoffs; where a group has few
-documents, the sketch of its language, or of everything, is used: sums of the same counts. The
-cutoffs are joined to the documents, which are then kept or rejected.
+with the same result. Every cutoff is a function of the quantiles of a sketch alone:
+
+    cut = q90 + max(TAIL * (q99 - q90), BODY * (q90 - q50))
+
+half way into the tail, or beyond the body where the tail is light. Sketches per language and source,
+per language, and of everything are sums of the same counts. To a group's sketch come PRIOR documents
+that lie as its language's do, at the percentiles of that sketch, and to the language's as many that
+lie as everything does: small groups borrow much, large ones little.
+
+The cutoffs are joined to the documents, which are then kept or rejected.
 """
 
 from __future__ import annotations
@@ -25,16 +32,17 @@ from plumbline.llm.common import cut_lineage, map_columns, small_side, text_byte
 SYMBOLS = b"#*$%&|<>"
 #: Relative error of a quantile is at most this.
 ACCURACY = 0.01
-#: Groups of fewer documents borrow the sketch of their language, or of the corpus.
-LEAST_DOCS = 100
-#: signal: (numerator, its denominator, slack). A document is rejected above q90 + SPREAD * (q90 - q50) + slack.
+#: Documents that a sketch borrows from the wider one, a hundredth at each of its percentiles.
+PRIOR = 300
+#: How far into the tail, and how many times the body's upper half beyond it, a cutoff lies.
+TAIL, BODY = 0.5, 2.0
+#: signal: (numerator, its denominator). A document is rejected above its group's cutoff.
 SIGNALS = {
-    "mean_word": ("word_chars", "n_words", 4.0),
-    "symbols": ("n_symbols", "n_words", 0.1),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.3),
-    "repeats": ("n_repeat_words", "n_words", 0.2),
+    "mean_word": ("word_chars", "n_words"),
+    "symbols": ("n_symbols", "n_words"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "repeats": ("n_repeat_words", "n_words"),
 }
-SPREAD = 4.0
 #: A table of cutoffs of at most so many rows is broadcast.
 BROADCAST_ROWS = 100_000
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"
@@ -90,7 +98,7 @@ def with_stats(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def _signal(name: str) -> Column:
-    over, under, _ = SIGNALS[name]
+    over, under = SIGNALS[name]
     return F.col(over) / F.greatest(F.col(under), F.lit(1))
 
 
@@ -114,42 +122,32 @@ def cutoffs(stats: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
-    def quantiles(keys: list[str], level: int) -> DataFrame:
-        merged = bins.groupBy(*keys, "signal", "bin").agg(F.sum("n").alias("n"))
+    def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
         by = W.partitionBy(*keys, "signal")
-        run = F.sum("n").over(by.orderBy("bin"))
-        total = F.sum("n").over(by)
-        value = F.when(F.col("bin") == -10_000, 0.0).otherwise(
-            F.lit(2.0) * F.pow(F.lit(gamma), F.col("bin").cast("double")) / (gamma + 1)
-        )
-        ranked = merged.select(*keys, "signal", value.alias("x"), run.alias("run"), total.alias("total"))
-        at = lambda q: F.min(F.when(F.col("run") >= q * F.col("total"), F.col("x")))
-        slack = F.create_map(*[y for k, v in SIGNALS.items() for y in (F.lit(k), F.lit(v[2]))])
-        return (
-            ranked.groupBy(*keys, "signal")
-            .agg(at(0.5).alias("mid"), at(0.9).alias("high"), F.max("total").alias("total"))
-            .select(
-                *keys,
-                "signal",
-                F.struct(
-                    (F.col("high") + SPREAD * (F.col("high") - F.col("mid")) + slack[F.col("signal")]).alias("cut"),
-                    F.col("total"),
-                ).alias(f"q{level}"),
-            )
-        )
-
-    same = lambda a, b, keys: reduce(
-        lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys], a["signal"] == b["signal"]
-    )
-    own, lang, everything = quantiles(["lang", "source"], 0), quantiles(["lang"], 1), quantiles([], 2)
-    joined = own.join(lang, same(own, lang, ["lang"]), "left").select(own["*"], "q1")
-    joined = joined.join(F.broadcast(everything), "signal", "left")  # one row a signal
-    chosen = F.when(F.col("q0.total") >= LEAST_DOCS, F.col("q0.cut")).when(
-        F.col("q1.total") >= LEAST_DOCS, F.col("q1.cut")
-    ).otherwise(F.col("q2.cut"))
-    return joined.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("signal") == k, chosen)).alias(f"cut_{k}") for k in SIGNALS]
-    )
+        return rows.select("*", F.sum("n").over(by.orderBy("bin")).alias("run"), F.sum("n").over(by).alias("total"))
+
+    def lent(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """The PRIOR documents at the percentiles of each sketch: at most 100 bins."""
+        percent = lambda run: F.floor(100 * run / F.col("total"))
+        weight = PRIOR // 100 * (percent(F.col("run")) - percent(F.col("run") - F.col("n")))
+        return ranked(rows, keys).select(*keys, "signal", "bin", weight.alias("n")).where("n > 0")
+
+    def borrowed(rows: DataFrame, keys: list[str], wider: DataFrame, on: list[str]) -> DataFrame:
+        """``rows`` with what every sketch borrows from its ``wider`` one."""
+        wide = wider.select(*[F.col(c).alias(f"__{c}") for c in (*on, "signal")], "bin", "n")
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on], F.col("signal") == F.col("__signal"))
+        more = rows.select(*keys, "signal").distinct().join(wide, same).select(*keys, "signal", "bin", "n")
+        return rows.unionByName(more).groupBy(*keys, "signal", "bin").agg(F.sum("n").alias("n"))
+
+    merged = lambda keys: bins.groupBy(*keys, "signal", "bin").agg(F.sum("n").alias("n"))
+    everything = lent(merged([]), [])
+    lang = lent(borrowed(merged(["lang"]), ["lang"], everything, []), ["lang"])
+    own = ranked(borrowed(bins, ["lang", "source"], lang, ["lang"]), ["lang", "source"])
+    edge = F.when(F.col("bin") == -10_000, 0.0).otherwise(F.pow(F.lit(gamma), F.col("bin").cast("double")))
+    at = lambda percent: F.min(F.when(100 * F.col("run") >= percent * F.col("total"), edge))
+    found = own.groupBy("lang", "source", "signal").agg(at(50).alias("mid"), at(90).alias("high"), at(99).alias("far"))
+    cut = F.col("high") + F.greatest(TAIL * (F.col("far") - F.col("high")), BODY * (F.col("high") - F.col("mid")))
+    return found.groupBy("lang", "source").agg(*[F.max(F.when(F.col("signal") == k, cut)).alias(f"cut_{k}") for k in SIGNALS])
 
 
 def judged(stats: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -179,8 +177,8 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    extra = [c for c in docs.columns if c in NAMES or c in ("base_failed", "kept")]
+    """The rows of ``docs`` that are kept, with the columns of ``docs``, whatever their names."""
+    extra = [c for c in docs.columns if c.lower() in (*NAMES, "base_failed", "kept", "__lang", "__source", "__bytes")]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}" if c in extra else c) for i, c in enumerate(docs.columns)])
     cuts = cutoffs(cut_lineage(with_stats(plain, ["lang", "source"])))
     kept = judged(with_stats(plain, plain.columns), cuts).where("kept")

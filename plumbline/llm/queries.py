@@ -199,23 +199,31 @@ WITH docs AS (
 ), bins AS (
   SELECT lang, source, signal, CASE WHEN x <= 1e-6 THEN -10000 ELSE ceil(ln(x) / ln(1.01::DOUBLE / 0.99)) END AS bin, count(*) AS n
   FROM signals GROUP BY ALL
-), merged AS (
-  SELECT grouping(lang, source) AS level, lang, source, signal, bin, sum(n) AS n
-  FROM bins GROUP BY GROUPING SETS ((lang, source, signal, bin), (lang, signal, bin), (signal, bin))
+), ranked2 AS (
+  SELECT signal, bin, n, sum(n) OVER (PARTITION BY signal ORDER BY bin) AS run, sum(n) OVER (PARTITION BY signal) AS total
+  FROM (SELECT signal, bin, sum(n) AS n FROM bins GROUP BY ALL)
+), lent2 AS (
+  SELECT signal, bin, 3 * (100 * run // total - 100 * (run - n) // total) AS n FROM ranked2
+), ranked1 AS (
+  SELECT lang, signal, bin, n, sum(n) OVER (PARTITION BY lang, signal ORDER BY bin) AS run, sum(n) OVER (PARTITION BY lang, signal) AS total
+  FROM (SELECT lang, signal, bin, sum(n) AS n FROM (
+    SELECT lang, signal, bin, n FROM bins
+    UNION ALL SELECT lang, l.signal, e.bin, e.n FROM (SELECT DISTINCT lang, signal FROM bins) l JOIN lent2 e ON l.signal = e.signal
+  ) GROUP BY ALL)
+), lent1 AS (
+  SELECT lang AS l, signal, bin, 3 * (100 * run // total - 100 * (run - n) // total) AS n FROM ranked1
 ), ranked AS (
-  SELECT *, CASE WHEN bin = -10000 THEN 0 ELSE 2 * pow(1.01::DOUBLE / 0.99, bin) / (1.01::DOUBLE / 0.99 + 1) END AS x,
-         sum(n) OVER (PARTITION BY level, lang, source, signal ORDER BY bin) AS run, sum(n) OVER (PARTITION BY level, lang, source, signal) AS total
-  FROM merged
-), cuts AS (
-  SELECT level, lang, source, signal, max(total) AS total,
-         min(x) FILTER (run >= 0.9 * total) + 4 * (min(x) FILTER (run >= 0.9 * total) - min(x) FILTER (run >= 0.5 * total))
-         + CASE signal WHEN 'mean_word' THEN 4.0 WHEN 'symbols' THEN 0.1 WHEN 'dup_lines' THEN 0.3 ELSE 0.2 END AS cut
-  FROM ranked GROUP BY level, lang, source, signal
+  SELECT lang, source, signal, CASE WHEN bin = -10000 THEN 0 ELSE pow(1.01::DOUBLE / 0.99, bin) END AS x,
+         sum(n) OVER (PARTITION BY lang, source, signal ORDER BY bin) AS run, sum(n) OVER (PARTITION BY lang, source, signal) AS total
+  FROM (SELECT lang, source, signal, bin, sum(n) AS n FROM (
+    SELECT lang, source, signal, bin, n FROM bins
+    UNION ALL SELECT g.lang, g.source, g.signal, w.bin, w.n FROM (SELECT DISTINCT lang, source, signal FROM bins) g
+      JOIN lent1 w ON g.lang IS NOT DISTINCT FROM w.l AND g.signal = w.signal WHERE w.n > 0
+  ) GROUP BY ALL)
 ), chosen AS (
-  SELECT a.lang, a.source, a.signal, CASE WHEN a.total >= 100 THEN a.cut WHEN b.total >= 100 THEN b.cut ELSE c.cut END AS cut
-  FROM (FROM cuts WHERE level = 0) a
-  JOIN (FROM cuts WHERE level = 1) b ON a.lang IS NOT DISTINCT FROM b.lang AND a.signal = b.signal
-  JOIN (FROM cuts WHERE level = 3) c ON a.signal = c.signal
+  SELECT lang, source, signal, high + greatest(0.5::DOUBLE * (far - high), 2.0::DOUBLE * (high - mid)) AS cut
+  FROM (SELECT lang, source, signal, min(x) FILTER (100 * run >= 50 * total) AS mid, min(x) FILTER (100 * run >= 90 * total) AS high,
+               min(x) FILTER (100 * run >= 99 * total) AS far FROM ranked GROUP BY lang, source, signal)
 ), wide AS (
   SELECT lang AS l, source AS s, max(cut) FILTER (signal = 'mean_word') AS mean_word, max(cut) FILTER (signal = 'symbols') AS symbols,
          max(cut) FILTER (signal = 'dup_lines') AS dup_lines, max(cut) FILTER (signal = 'repeats') AS repeats

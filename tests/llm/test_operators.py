@@ -188,12 +188,36 @@ def test_repeated_words_in_arrays_equal_windows():
 
 
 def test_sketch_cutoffs_follow_the_group(spark):
-    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "a") for i in range(150)]
-    rows += [(1000 + i, " ".join(f"# w{i}x{j}" for j in range(60)), "en", "b") for i in range(150)]
-    rows += [(5000, " ".join(f"# $ % w{j}" for j in range(60)), "en", "a")]
+    odd = " ".join(f"#w{j} $v{j} x{j}y" for j in range(60))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "a") for i in range(2500)]
+    rows += [(5000 + i, " ".join(f"{'#' if i % 3 == 0 else 'x'} w{i}x{j}" for j in range(60)), "en", "b") for i in range(2000)]
+    rows += [(9000, odd, "en", "a"), (9001, odd, "en", "b")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     kept = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(docs).collect()}
-    assert all(kept[i] for i in range(150)) and all(kept[1000 + i] for i in range(150)) and not kept[5000]
+    assert not kept.pop(9000) and all(kept.values())  # the same text stays where the group's sketch has such texts
+
+
+def test_cutoffs_of_the_tables_differ_and_three_signals_reject(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stats = quality.with_stats(docs, ["doc_id", "lang", "source"]).cache()
+    cuts = quality.cutoffs(stats).collect()
+    assert len(cuts) == 80
+    above = Counter()
+    of = {(c["lang"], c["source"]): c for c in cuts}
+    for r in stats.collect():
+        if r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]:
+            for k, (over, under) in quality.SIGNALS.items():
+                above[k] += r[over] / max(r[under], 1) > of[r["lang"], r["source"]][f"cut_{k}"]
+    assert sum(n > 0 for n in above.values()) >= 3
+    assert all(len({round(c[f"cut_{k}"], 6) for c in cuts}) > 1 for k in quality.SIGNALS)
+
+
+def test_quality_stage_takes_clashing_columns(spark):
+    text = " ".join(f"word{j}" for j in range(60))
+    docs = spark.createDataFrame([(1, text, "en", "s", 7, "x", True), (2, None, None, None, 8, "y", False)], "doc_id bigint, text string, lang string, source string, N_Words int, Kept string, base_failed boolean")
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert [tuple(r) for r in kept.collect()] == [(1, text, "en", "s", 7, "x", True)]
 
 
 def brute_targets(sizes, weights=(5, 2, 1)):
