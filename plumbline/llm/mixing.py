@@ -1,10 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Every source is a stream of words: its documents in a shuffled order that depends on their ids
-alone, cut into blocks of equally many words. The mix is a sequence of slots. Slot i belongs to the
-source under whose share of the cumulative weights the point frac((i + 1) * phi) of the golden-ratio
-sequence falls, so any stretch of the mix holds the sources near their weights. The r-th slot of a
-source takes block r of its stream, which starts again at its end for as long as its target lasts.
+alone, cut into blocks of equally many words. The mix is a sequence of as many slots as the targets
+hold blocks. Slot i belongs to the source under whose share of the cumulative slots the point
+frac((i + 1) * phi) of the golden-ratio sequence falls, so any stretch of the mix holds the sources
+near their weights. The r-th slot that a source wins takes block r of its stream, which starts again
+at its end; what a document gives is the sum of the blocks so won. A source wins its share of the
+slots but for a few, so the words taken come near the target, and never more than MOST_EPOCHS times
+the source: later slots of it stay empty.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.llm.common import WORD, cut_lineage, map_columns, text_bytes
+from plumbline.llm.common import WORD, cut_lineage, map_columns, small_side, text_bytes
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -27,6 +30,10 @@ MOST_EPOCHS = 3
 GOLDEN = 11400714819323198485
 #: Slots are ranked within stretches of so many.
 STRETCH = 65_536
+#: Words of a block at most, blocks of a source at least (as far as it has words), and slots of a mix at most, some.
+BLOCK, LEAST_BLOCKS, MOST_SLOTS = 4096, 128, 1 << 31
+#: A table of sources of at most so many rows is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_EPOCHS) -> DataFrame:
@@ -58,26 +65,47 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOS
     )
 
 
-def _slots(docs: DataFrame, shares: DataFrame) -> DataFrame:
-    """``at`` (of a source), ``rank`` and ``slot`` for a golden-ratio schedule of all slots."""
-    spark = docs.sparkSession
-    rows = shares.where("slots > 0").orderBy("at").select("at", "slots").collect()  # a row per source
-    if not rows:
+def planned(share: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``share`` (see targets) with ``block`` (words of one), ``per_epoch`` (blocks of the stream), ``slots`` (blocks of
+    the target) and ``low`` (slots of the sources before). The window runs over sources."""
+    most = F.greatest(F.lit(block), F.ceil(F.sum("source_size").over(W.partitionBy()) / MOST_SLOTS))
+    blocks = F.greatest(F.ceil(F.col("source_size") / most), F.least("source_size", F.lit(LEAST_BLOCKS)))
+    words = F.when(F.col("source_size") > 0, F.ceil(F.col("source_size") / blocks)).otherwise(1).cast("bigint")
+    out = share.withColumn("block", words).withColumn("per_epoch", F.ceil(F.col("source_size") / F.col("block")).cast("bigint"))
+    won = F.round(F.col("take") * F.col("per_epoch").cast("double") / F.greatest("source_size", F.lit(1))).cast("bigint")
+    before = W.orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    return out.withColumn("slots", won).withColumn("low", F.coalesce(F.sum("slots").over(before), F.lit(0)))
+
+
+def schedule(share: DataFrame) -> DataFrame:
+    """``at`` (of a source), ``rank`` and ``slot`` of every slot of the mix, for sources as ``planned`` gives them.
+
+    Point and source meet in ranges of the cumulative slots: a source is listed in each range it
+    reaches, and a point takes the last one that starts at or before it.
+    """
+    spark = share.sparkSession
+    total = share.agg(F.sum("slots")).first()[0] or 0
+    if not total:
         return spark.createDataFrame([], "at int, rank bigint, slot bigint")
-    ats = np.array([r["at"] for r in rows], np.int64)
-    ends = np.cumsum([r["slots"] for r in rows])
-    total = int(ends[-1]) + 64 * len(rows)  # a few more: a source may lag behind its share by some points
-    bounds = ends / ends[-1]
+    width = -(-total // 65_536)
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        many, low = np.uint64(total), np.uint64(0xFFFFFFFF)
         for batch in batches:
             for stretch in batch.column(0).to_pylist():
                 slot = np.arange(stretch * STRETCH, min((stretch + 1) * STRETCH, total), dtype=np.uint64)
-                point = ((slot + np.uint64(1)) * np.uint64(GOLDEN)) / 2.0**64
-                yield {"slot": slot.astype(np.int64), "at": ats[np.searchsorted(bounds, point, "right").clip(0, len(ats) - 1)]}
-
-    points = map_columns(spark.range((total - 1) // STRETCH + 1), [F.col("id")], "slot bigint, at int", body)
-    points = points.withColumn("stretch", F.floor(F.col("slot") / STRETCH))
+                point = (slot + np.uint64(1)) * np.uint64(GOLDEN)  # of 2**64; the next line is floor(point * total / 2**64)
+                place = (point >> np.uint64(32)) * many + (((point & low) * many) >> np.uint64(32)) >> np.uint64(32)
+                yield {"slot": slot.astype(np.int64), "place": place.astype(np.int64)}
+
+    points = map_columns(spark.range((total - 1) // STRETCH + 1), [F.col("id")], "slot bigint, place bigint", body)
+    ranges = F.sequence(F.floor(F.col("low") / width), F.floor((F.col("low") + F.col("slots") - 1) / width))
+    listed = share.where("slots > 0").select("at", "low", F.explode(ranges).alias("range"))
+    listed = listed.select("range", F.greatest("low", F.col("range") * width).alias("place"), F.lit(None).cast("bigint").alias("slot"), "at")
+    both = listed.unionByName(points.select(F.floor(F.col("place") / width).alias("range"), "place", "slot", F.lit(None).cast("int").alias("at")))
+    by_place = W.partitionBy("range").orderBy("place", F.col("slot").asc_nulls_first())
+    points = both.withColumn("at", F.last("at", ignorenulls=True).over(by_place)).where("slot IS NOT NULL")
+    points = cut_lineage(points.select("at", "slot", F.floor(F.col("slot") / STRETCH).alias("stretch")))
     before = points.groupBy("at", "stretch").agg(F.count(F.lit(1)).alias("n"))
     earlier = W.partitionBy("at").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
     before = before.select("at", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -89,7 +117,7 @@ def _slots(docs: DataFrame, shares: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, block: int = 4096, seed: int = 0, key: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0, key: tuple[str, ...] = ()) -> DataFrame:
     """The mix: a row per stretch of words of one document in one slot.
 
     Columns: ``doc_id``, ``row`` (tells rows with one doc_id apart), ``source``, ``size``,
@@ -103,15 +131,10 @@ def mix(docs: DataFrame, block: int = 4096, seed: int = 0, key: tuple[str, ...]
     words = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD)))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = cut_lineage(docs.select(*key, "doc_id", "source", words.cast("bigint").alias("size"), order.alias("order")))
-    share = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    per_epoch = F.ceil(F.col("source_size") / block)
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("take") / F.col("source_size"))).otherwise(0)
-    share = cut_lineage(
-        share.withColumn("per_epoch", per_epoch.cast("bigint"))
-        .withColumn("epochs", full.cast("bigint"))
-        .withColumn("rest", F.col("take") - F.col("epochs") * F.col("source_size"))
-        .withColumn("slots", F.col("epochs") * F.col("per_epoch") + F.ceil(F.col("rest") / block))
-    )
+    share = cut_lineage(planned(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), block))
+    slots = cut_lineage(schedule(share))
+    won = slots.groupBy("at").agg(F.count(F.lit(1)).alias("won"))
+    share = small_side(cut_lineage(share.join(won, "at", "left").fillna(0, ["won"])), BROADCAST_ROWS)
     bucket = F.substring("order", 1, 3)
     in_source = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -128,26 +151,22 @@ def mix(docs: DataFrame, block: int = 4096, seed: int = 0, key: tuple[str, ...]
     placed = placed.join(offsets, placed["source"].eqNullSafe(offsets["s"]) & (placed["bucket"] == offsets["b"])).withColumn(
         "start", F.col("before") + F.col("inside")
     )
-    own = F.broadcast(share.withColumnRenamed("source", "of"))  # a row per source
+    own = share.withColumnRenamed("source", "of")
     placed = placed.join(own, placed["source"].eqNullSafe(own["of"])).withColumn("end", F.col("start") + F.col("size"))
-    epochs = F.when(F.col("size") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("epochs")))
-    pieces = placed.select("*", F.explode_outer(epochs).alias("epoch")).withColumn(
-        "limit", F.when(F.col("epoch") < F.col("epochs"), F.col("source_size")).otherwise(F.col("rest"))
-    )
-    blocks = F.when(
-        F.col("limit") > F.col("start"),
-        F.sequence(F.floor(F.col("start") / block), F.floor((F.least("end", "limit") - 1) / block)),
-    )
+    last_epoch = F.least(F.floor((F.col("won") - 1) / F.col("per_epoch")), F.lit(MOST_EPOCHS - 1))
+    epochs = F.when((F.col("size") > 0) & (F.col("won") > 0), F.sequence(F.lit(0).cast("bigint"), last_epoch))
+    pieces = placed.select("*", F.explode_outer(epochs).alias("epoch"))
+    first = F.floor(F.col("start") / F.col("block"))
+    last = F.least(F.floor((F.col("end") - 1) / F.col("block")), F.col("won") - F.col("epoch") * F.col("per_epoch") - 1)
     pieces = (
-        pieces.select("*", F.explode_outer(blocks).alias("block"))
-        .withColumn("from", F.greatest("start", F.col("block") * block))
-        .withColumn("to", F.least("end", "limit", (F.col("block") + 1) * block))
-        .withColumn("rank", F.col("epoch") * F.col("per_epoch") + F.col("block"))
+        pieces.select("*", F.explode_outer(F.when(last >= first, F.sequence(first, last))).alias("nth"))
+        .where("nth IS NOT NULL OR coalesce(epoch, 0) = 0")
+        .withColumn("rank", F.col("epoch") * F.col("per_epoch") + F.col("nth"))
+        .withColumn("from", F.greatest("start", F.col("nth") * F.col("block")))
+        .withColumn("to", F.least("end", (F.col("nth") + 1) * F.col("block")))
     )
-    slots = _slots(docs, share)
-    tail = F.lit(1 << 40) + F.col("rank")  # ranks that the schedule did not reach come last
     joined = pieces.join(slots, ["at", "rank"], "left")
-    taken = F.col("block").isNotNull()
+    taken = F.col("slot").isNotNull()
     return joined.select(
         *key,
         "doc_id",
@@ -156,14 +175,14 @@ def mix(docs: DataFrame, block: int = 4096, seed: int = 0, key: tuple[str, ...]
         "size",
         "source_size",
         "target",
-        F.when(taken, F.coalesce("slot", tail)).alias("slot"),
+        "slot",
         F.when(taken, F.col("epoch")).alias("epoch"),
         F.when(taken, F.col("from") - F.col("start")).alias("first_word"),
         F.when(taken, F.col("to") - F.col("from")).alias("words"),
     )
 
 
-def taken_words(docs: DataFrame, block: int = 4096, seed: int = 0) -> DataFrame:
+def taken_words(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``."""
     return (
         mix(docs, block, seed)
@@ -200,10 +219,10 @@ def _cut_words(docs: DataFrame, names: list[str]) -> DataFrame:
     return map_columns(docs, [*(F.col(f"`{c}`") for c in names), F.col("__first"), F.col("__words")], ddl, body)
 
 
-def mixed_documents(docs: DataFrame, block: int = 4096, seed: int = 0) -> DataFrame:
-    """The mix as documents with the columns of ``docs``: a row per document and epoch.
+def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """The mix as documents with the columns of ``docs``: a row per document and epoch, in the order of their first slots.
 
-    Whole texts but for the one document per source at which the target ends, which is cut there;
+    Whole texts but for the one document per source at which its last block ends, which is cut there;
     where ``docs`` has n_chars it is set anew. Rows are told apart by a key of their own, written with
     them to the checkpoint folder, so rows that repeat a doc_id, or have none, are documents too.
     """
@@ -212,12 +231,12 @@ def mixed_documents(docs: DataFrame, block: int = 4096, seed: int = 0) -> DataFr
         mix(keyed, block, seed, key=("__row",))
         .where("words > 0")
         .groupBy("__row", "epoch", "size")
-        .agg(F.min("first_word").alias("__first"), F.sum("words").alias("__words"))
+        .agg(F.min("slot").alias("__slot"), F.min("first_word").alias("__first"), F.sum("words").alias("__words"))
     )
     parts = cut_lineage(parts)
-    whole = parts.where("__words = size").select("__row")
-    out = keyed.join(whole, "__row").select(*docs.columns)
-    rest = parts.where("__words < size").select("__row", "__first", "__words")  # one row per source
-    part = keyed.join(F.broadcast(rest), "__row")
-    out = out.unionByName(_cut_words(part, docs.columns))
+    columns = [*docs.columns, "__slot", "__row"]
+    whole = parts.where("__words = size").select("__row", "__slot")
+    rest = parts.where("__words < size").select("__row", "__slot", "__first", "__words")  # one row per source
+    part = _cut_words(keyed.join(small_side(rest, BROADCAST_ROWS), "__row"), columns)
+    out = keyed.join(whole, "__row").select(*columns).unionByName(part).sort("__slot", "__row").select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out

@@ -105,7 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-#: A source's stream is its documents in the order of a digest; whole epochs, and a last one that ends at the target.
+#: A source's stream is its documents in the order of a digest; the slots it wins take its blocks, from the first on, and again.
 MIXING_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size,
@@ -119,16 +119,29 @@ WITH sized AS (
             / CAST((SELECT sum(w) FROM sources) - coalesce(sum(w) OVER before, 0) AS BIGINT) AS level
   FROM sources WINDOW before AS (ORDER BY source_size / w, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), targets AS (
-  SELECT source AS of, source_size,
+  SELECT source, nth, source_size,
          least(CAST(3 * source_size AS DOUBLE), w * (SELECT max(level) FROM levels WHERE level * w <= 3 * source_size)) AS target
   FROM levels
+), blocks AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 1 ELSE CAST(ceil(source_size / greatest(ceil(source_size / most), least(source_size, 128))) AS BIGINT) END AS block
+  FROM (SELECT *, greatest(4096, ceil((SELECT sum(source_size) FROM targets) / 2147483648)) AS most FROM targets)
+), planned AS (
+  SELECT *, CAST(ceil(source_size / block) AS BIGINT) AS per_epoch,
+         CAST(round(round(target) * CAST(ceil(source_size / block) AS DOUBLE) / greatest(source_size, 1)) AS BIGINT) AS slots
+  FROM blocks
+), shares AS (
+  SELECT source AS of, nth, source_size, target, block, per_epoch, sum(slots) OVER (ORDER BY nth) - slots AS low, sum(slots) OVER (ORDER BY nth) AS high FROM planned
+), points AS (
+  SELECT ((i + 1)::HUGEINT * 11400714819323198485 % 18446744073709551616) * (SELECT max(high) FROM shares) // 18446744073709551616 AS point
+  FROM range((SELECT CAST(max(high) AS BIGINT) FROM shares)) r(i)
+), won AS (
+  SELECT s.*, least(CAST((SELECT count(*) FROM points WHERE point >= low AND point < high) AS BIGINT), 3 * per_epoch) AS n FROM shares s
 ), placed AS (
-  SELECT s.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS take,
-         CAST(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.of
+  SELECT s.doc_id, s.size, t.*, CAST(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
+  FROM sized s JOIN won t ON s.source IS NOT DISTINCT FROM t.of
 )
 SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE take // source_size * size + greatest(0, least(size, take % source_size - start)) END AS taken
+       CASE WHEN size = 0 THEN 0 ELSE n // per_epoch * size + greatest(0, least(size, n % per_epoch * block - start)) END AS taken
 FROM placed
 """
 
