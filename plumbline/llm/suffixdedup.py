@@ -4,8 +4,9 @@ A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts ea
 Sorting the suffixes of all positions would move a hundred times the input, so two exact steps come
 first. In every string of LENGTH bytes, the leftmost of the WINDOW grams of GRAM bytes with the least
 hash is an anchor: equal strings have their anchors at equal places, so only positions around anchors
-whose gram recurs can matter. And an anchor whose whole surroundings (all the strings it can stand
-for) equal those of an earlier anchor is settled: all of these strings recur.
+whose gram recurs can matter; hashes bring them together and decide nothing. And an anchor whose whole
+surroundings (all the strings it can stand for) equal those of an earlier anchor is settled: all of
+these strings recur. Surroundings are equal if their lengths and SHA-256 digests are.
 
 What is left are the suffixes at anchors whose gram recurs in different surroundings. Each task sorts
 those of its documents, cut to LENGTH bytes, into a run; runs are cut at common splitters,
@@ -16,12 +17,18 @@ both are known to share with it. The merged order gives, for every number of byt
 agree so far to the right; sorting the bytes before the anchors gives the same to the left. A string
 that starts d bytes before its anchor equals those of the anchors that agree in d bytes to the left
 and LENGTH - d to the right: two numbers, without a look at the text. All but the earliest are repeats.
+
+A gram with very many different surroundings would be one task's work in all of this. Where a batch has
+over DEALT of them, they are dealt out by their surroundings; and the anchors of a gram with over CROWD
+open ones (or dealt out so) are not merged, but unfolded into the strings they can stand for, which are
+dealt out by their SHA-256 digests: the earliest of each stays.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +48,10 @@ GAP = 104
 PIECE, RUN = 2 << 20, 100_000
 #: Anchors of a merged range that are judged at once, at least; a gram's anchors stay together.
 BLOCK = 20_000
+#: Different surroundings of one gram in a batch, and open anchors of one gram, beyond which they are dealt out.
+DEALT, CROWD = 1_000, 200_000
+#: The four words of a digest of surroundings.
+WORDS = ("w0", "w1", "w2", "w3")
 _ODD = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -69,7 +80,7 @@ def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, bytes, int, int, int
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of every anchor: text number, hash of its gram, hash of its surroundings, its place, their end."""
+    """Of every anchor: text number, hash of its gram, digest of its surroundings (four words), its place, their end."""
     found = []
     for pieces in _pieces(texts):
         buffer = np.zeros(sum(len(p[1]) + GAP for p in pieces) + 2 * GAP, np.uint8)
@@ -98,31 +109,38 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         lows, ns = np.array([p[2] for p in pieces]), np.array([p[5] for p in pieces])
         pos = chosen - base[piece] + lows[piece]
         left, right = np.minimum(BEFORE, pos), np.minimum(LENGTH, ns[piece] - pos)
-        around = (left * 256 + right).astype(np.uint64) * _ODD[3]
-        for j in range((BEFORE + LENGTH) // 8):
-            around ^= words[chosen - BEFORE + 8 * j]
-            around *= _ODD[4 + j]
-            around ^= around >> np.uint64(31)
+        low, high, raws = pos - left - lows[piece], pos + right - lows[piece], [p[1] for p in pieces]
+        digests = [
+            sha256(bytes((x, y)) + raws[k][i:j]).digest()
+            for x, y, k, i, j in zip(left.tolist(), right.tolist(), piece.tolist(), low.tolist(), high.tolist())
+        ]
+        around = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 4)
         text = np.array([p[0] for p in pieces])[piece]
-        found.append((text, h[chosen].view(np.int64), _mix(around).view(np.int64), pos, pos + right))
+        found.append((text, h[chosen].view(np.int64), around, pos, pos + right))
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        none = np.zeros(0, np.int64)
+        return none, none, none.reshape(0, 4), none, none
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Anchors of a batch. Of anchors with equal surroundings, all but the earliest are settled here and
-    leave as plain ranges, so a passage in every document costs a row a batch."""
+    leave as plain ranges, so a passage in every document costs a row a batch.
+
+    state: 0, 1 (of a gram that is dealt out), 2 (settled), 3 (a mark that anchors of this gram are dealt out).
+    """
     for batch in batches:
         ids, keys = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
         order = np.lexsort((keys, ids))
         ids, keys = ids[order], keys[order]
         text, gram, around, at, b = anchors([batch.column(2)[int(k)].as_py() for k in order])
         doc = _numbers(ids, keys)[text]  # rows that repeat an id and text have one number
-        by = np.argsort(gram * np.int64(_ODD[30] >> np.uint64(1)) + around, kind="stable")
+        by = np.argsort(gram * np.int64(_ODD[30] >> np.uint64(1)) + around[:, 0], kind="stable")
         g, s, d, p = gram[by], around[by], doc[by], at[by]
         again = np.zeros(len(by), bool)
-        again[1:] = (g[1:] == g[:-1]) & (s[1:] == s[:-1])
+        again[1:] = (g[1:] == g[:-1]) & (s[1:] == s[:-1]).all(axis=1)
+        grams, contexts = np.unique(g[~again], return_counts=True)
+        grams = grams[contexts > DEALT]
         first = np.maximum.accumulate(np.where(again, 0, np.arange(len(by))))
         again &= (d != d[first]) | (p != p[first])
         settled = np.zeros(len(by), bool)
@@ -134,14 +152,18 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         row[doc] = text
         row, row_s = row[doc[left]], row[doc_s]
         spread = ((ids[row_s] ^ keys[row_s]) * 31 + a_s).astype(np.int64) * np.int64(_ODD[31] >> np.uint64(1))
+        own = gram[left]
+        dealt = np.isin(own, grams)
+        own = np.where(dealt, own * np.int64(_ODD[32] >> np.uint64(1)) + around[left, 0], own)
+        none, ones = np.zeros(n + len(grams), np.int64), np.ones(len(grams), np.int64)
         yield {
-            "gram": np.concatenate((gram[left], spread)),
-            "around": np.concatenate((around[left], np.zeros(n, np.int64))),
-            "doc_id": np.concatenate((ids[row], ids[row_s])),
-            "key": np.concatenate((keys[row], keys[row_s])),
-            "at": np.concatenate((at[left], a_s + BEFORE)).astype(np.int32),
-            "b": np.concatenate((b[left], b_s)).astype(np.int32),
-            "settled": np.concatenate((np.zeros(int(left.sum()), bool), np.ones(n, bool))),
+            "gram": np.concatenate((own, spread, grams)),
+            **{w: np.concatenate((around[left, k], none)) for k, w in enumerate(WORDS)},
+            "doc_id": np.concatenate((ids[row], ids[row_s], ones)),
+            "key": np.concatenate((keys[row], keys[row_s], ones)),
+            "at": np.concatenate((at[left], a_s + BEFORE, ones)).astype(np.int32),
+            "b": np.concatenate((b[left], b_s, ones)).astype(np.int32),
+            "state": np.concatenate((np.where(dealt, 1, 0), np.full(n, 2), np.full(len(grams), 3))).astype(np.int8),
         }
 
 
@@ -157,12 +179,11 @@ def _numbers(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _identified(docs: DataFrame) -> DataFrame:
     """``doc_id`` (a null is the least bigint), ``key``, ``text`` (bytes) and ``given``, the id as it is.
 
-    The key, a hash of the text and of whether there is an id, tells apart texts that share an id, or have none.
+    The key, a part of the text's SHA-256 digest, tells apart texts that share an id, or have none.
     """
     given, text = F.col("doc_id").cast("bigint"), text_bytes()
-    return docs.select(
-        F.coalesce(given, F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text, given.isNull()).alias("key"), text, given.alias("given")
-    )
+    key = F.xxhash64(F.sha2(text, 256), given.isNull())
+    return docs.select(F.coalesce(given, F.lit(-(2**63))).alias("doc_id"), key.alias("key"), text, given.alias("given"))
 
 
 def _union(doc: np.ndarray, a: np.ndarray, b: np.ndarray, least: int = 0) -> tuple[np.ndarray, ...]:
@@ -185,37 +206,40 @@ def _union(doc: np.ndarray, a: np.ndarray, b: np.ndarray, least: int = 0) -> tup
 
 
 def recurring(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``key`` (see _identified) and ``ranges`` of (at, b, open), from BEFORE bytes before ``at``, or the text's start, to ``b``.
+    """``doc_id``, ``key`` (see _identified) and ``ranges`` of (at, b, open, crowd), from BEFORE bytes before ``at``, or the text's start, to ``b``.
 
     A range that is not open is repeated as a whole. In an open one, with an anchor at ``at``, strings
-    that hold the anchor may be repeated. Other bytes are not.
+    that hold the anchor may be repeated. Other bytes are not. crowd: see the module's head.
     """
+    digest = ", ".join(f"{w} bigint" for w in WORDS)
     rows = map_columns(
         _identified(docs), [F.col("doc_id"), F.col("key"), F.col("text")],
-        "gram bigint, around bigint, doc_id bigint, key bigint, at int, b int, settled boolean", _anchor_rows,
-    )
+        f"gram bigint, {digest}, doc_id bigint, key bigint, at int, b int, state tinyint", _anchor_rows,
+    ).repartition("gram")  # one exchange for both windows
     by_gram = W.partitionBy("gram")
-    ordered = W.partitionBy("gram", "around").orderBy("doc_id", "key", "at")
+    ordered = W.partitionBy("gram", *WORDS).orderBy("doc_id", "key", "at")
     judged = rows.select(
-        "doc_id", "key", "at", "b", "settled",
+        "gram", "doc_id", "key", "at", "b", "state",
         (F.row_number().over(ordered) == 1).alias("first"),
         F.first("doc_id").over(ordered).alias("d0"),
         F.first("key").over(ordered).alias("key0"),
         F.first("at").over(ordered).alias("at0"),
-        (F.min("around").over(by_gram) != F.max("around").over(by_gram)).alias("mixed"),
     )
+    apart = F.sum(F.col("first").cast("bigint")).over(by_gram)  # different surroundings
+    judged = judged.select("*", apart.alias("apart"), (F.max("state").over(by_gram) == 3).alias("marked"))
     other = (F.col("d0") != F.col("doc_id")) | (F.col("key0") != F.col("key")) | (F.col("at0") != F.col("at"))
-    repeat = F.col("settled") | ~F.col("first") & other
-    kept = judged.where(repeat | (F.col("first") & F.col("mixed")))
+    repeat = (F.col("state") == 2) | ~F.col("first") & other
+    mixed, crowd = (F.col("state") == 1) | (F.col("apart") > 1), (F.col("state") == 1) | F.col("marked") | (F.col("apart") > CROWD)
+    kept = judged.where((F.col("state") < 3) & (repeat | (F.col("first") & mixed)))
     return (
-        kept.select("doc_id", "key", F.struct("at", "b", (~repeat).alias("open")).alias("r"))
+        kept.select("doc_id", "key", F.struct("at", "b", (~repeat).alias("open"), (~repeat & crowd).alias("crowd")).alias("r"))
         .groupBy("doc_id", "key")
-        .agg(F.collect_list("r").alias("ranges"))
+        .agg(F.collect_set("r").alias("ranges"))
     )
 
 
-def _open_anchors(ranges: list[dict]) -> np.ndarray:
-    """Places of open anchors, but for those whose strings all lie in settled ranges."""
+def _open_anchors(ranges: list[dict], crowd: bool = False) -> np.ndarray:
+    """Places of open anchors, of a crowd or not, but for those whose strings all lie in settled ranges."""
     done = sorted((max(r["at"] - BEFORE, 0), r["b"]) for r in ranges if not r["open"])
     joined: list[list[int]] = []
     for a, b in done:  # strings of both lie in the union only if the ranges share LENGTH - 1 bytes
@@ -225,7 +249,7 @@ def _open_anchors(ranges: list[dict]) -> np.ndarray:
             joined.append([a, b])
     starts, out = [x[0] for x in joined], []
     for r in ranges:
-        if r["open"]:
+        if r["open"] and r["crowd"] == crowd:
             k = bisect_right(starts, max(r["at"] - BEFORE, 0)) - 1
             if k < 0 or joined[k][1] < r["b"]:
                 out.append(r["at"])
@@ -257,17 +281,17 @@ def _packed(docs: DataFrame) -> DataFrame:
 def _splitters(docs: DataFrame, marks: DataFrame, parts: int, sampled: int = 256, each: int = 64) -> np.ndarray:
     """Grams that cut the sort into ``parts`` ranges; from at most ``sampled`` documents, as they
     decide the sizes of tasks only."""
-    some = marks.where(F.exists("ranges", lambda r: r["open"])).orderBy(F.xxhash64("doc_id", "key")).limit(sampled)
+    plain = F.slice(F.filter("ranges", lambda r: r["open"] & ~r["crowd"]), 1, each)  # bounded, whatever a text holds
+    some = marks.select("doc_id", "key", plain.alias("ranges")).where(F.size("ranges") > 0)
+    some = some.orderBy(F.xxhash64("doc_id", "key")).limit(sampled)
     joined = _identified(docs).join(F.broadcast(some), ["doc_id", "key"])
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        rng = np.random.default_rng(0)
         for batch in batches:
             heads = []
             for raw, ranges in zip(batch.column(0), batch.column(1)):
                 text = raw.as_py()
-                for k in rng.permutation(_open_anchors(ranges.as_py()))[:each].tolist():
-                    heads.append(text[k : k + GRAM])
+                heads += [text[r["at"] : r["at"] + GRAM] for r in ranges.as_py()]
             yield {"head": heads}
 
     found = sorted(bytes(r[0]) for r in map_columns(joined, [F.col("text"), F.col("ranges")], "head binary", body).collect())
@@ -487,6 +511,46 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from close()
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The strings of crowded anchors: digest, doc_id, key, start and whether the same string comes earlier in this portion."""
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def emit(held: dict[bytes, list[tuple[int, int, int]]]) -> dict:
+        out: dict[str, list] = {"string": [], "doc_id": [], "key": [], "a": [], "again": []}
+        for digest, places in held.items():
+            first = min(places)
+            for place in set(places):
+                for k, v in zip(out, (digest, *place, place != first)):
+                    out[k].append(v)
+        return out
+
+    held: dict[bytes, list[tuple[int, int, int]]] = {}
+    count = 0
+    for batch in batches:
+        for doc_id, key, packed, ranges in zip(*(batch.column(i) for i in range(4))):
+            places = _open_anchors(ranges.as_py(), True)
+            if not len(places):
+                continue
+            raw, name = unpack(packed.as_py()), (doc_id.as_py(), key.as_py())
+            for at in places.tolist():
+                for start in range(max(at - BEFORE, 0), min(at, len(raw) - LENGTH) + 1):
+                    held.setdefault(sha256(raw[start : start + LENGTH]).digest(), []).append((*name, start))
+                    count += 1
+                if count >= RUN:
+                    yield emit(held)
+                    held, count = {}, 0
+    yield emit(held)
+
+
+def _crowded(joined: DataFrame) -> DataFrame:
+    """``doc_id``, ``key``, ``a``, ``b`` of repeats among the strings of crowded anchors."""
+    strings = map_columns(joined, [F.col(c) for c in joined.columns], "string binary, doc_id bigint, key bigint, a int, again boolean", _strings)
+    settled, rest = F.col("again"), W.partitionBy("__deal", "string").orderBy("doc_id", "key", "a")
+    deal = F.when(settled, F.xxhash64("doc_id", "key", "a")).otherwise(F.xxhash64("string"))  # what is known need not meet
+    ranked = strings.withColumn("__deal", deal).withColumn("__n", F.when(settled, 2).otherwise(F.row_number().over(rest)))
+    return ranked.where("__n > 1").select("doc_id", "key", "a", (F.col("a") + LENGTH).alias("b"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``spans`` (removed ranges as an array of start and end) and ``kept`` (binary).
 
@@ -505,8 +569,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     runs = map_columns(joined, [F.col(c) for c in joined.columns], RUNS, lambda batches: _runs(batches, splitters))
     dealt = runs.repartition("part").sortWithinPartitions("part")
     repeats = map_columns(dealt, [F.col(c) for c in dealt.columns], "doc_id bigint, key bigint, a int, b int", _merge)
+    crowd = marks.where(F.exists("ranges", lambda r: r["crowd"]))
+    if not crowd.isEmpty():
+        repeats = repeats.unionByName(_crowded(packed.join(crowd, ["doc_id", "key"]).select("doc_id", "key", "packed", "ranges")))
     merged = cut_lineage(
-        repeats.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("more"))
+        repeats.groupBy("doc_id", "key").agg(F.collect_set(F.struct("a", "b")).alias("more"))
     )
     final = packed.join(marks, ["doc_id", "key"], "left").join(merged, ["doc_id", "key"], "left")
 

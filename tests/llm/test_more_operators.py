@@ -79,6 +79,73 @@ def test_suffix_dedup_of_long_texts_and_small_runs(spark, monkeypatch):
     assert check_repeats(spark, texts, 3) > 40
 
 
+#: The second differs from the first in three bytes, which a weak hash of the surroundings can miss.
+ALIKE = (
+    "fqvwtoo mtsomn mqduoqlidalgpzkvxozzeyxvdqzvhhb jcakpucujpbjufwtpffxnkdz fpukdfmbzouzyodiuqimiomiesvvvh "
+    "vftegyrfwottkejehjmtwuphgcwgnotwxloybhsp qsxoexufnhdd yze lfuog sxz eyxej"
+)
+
+
+def test_suffix_dedup_of_texts_alike_but_for_three_bytes(spark):
+    assert check_repeats(spark, {1: ALIKE, 2: ALIKE.replace("lidalgpzkvxozz", "livalglzkvvozz")}) == 1
+
+
+def test_suffix_dedup_with_equal_hashes(spark, monkeypatch):
+    """Hashes only bring grams together: with 16 of them the result is the same."""
+    from plumbline.llm import common
+
+    def weak(h):
+        h &= np.uint64(15)
+        h <<= np.uint64(32)
+        return h
+
+    def with_weak(df, read, out, body):
+        def run(batches):
+            from plumbline.llm import suffixdedup as there
+
+            usual, there._mix = there._mix, weak
+            try:
+                yield from body(batches)
+            finally:  # the worker may serve other tests
+                there._mix = usual
+
+        return common.map_columns(df, read, out, run)
+
+    monkeypatch.setattr(suffixdedup, "map_columns", with_weak)
+    monkeypatch.setattr(suffixdedup, "_mix", weak)
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    passages = [prose(rng.randint(90, 200)) for _ in range(4)]
+    texts = {i: "".join(prose(rng.randint(0, 90)) + rng.choice(passages) for _ in range(rng.randint(1, 3))) for i in range(16)}
+    assert check_repeats(spark, texts, 3) > 10
+
+
+@pytest.mark.parametrize("dealt, crowd", [(3, 10**9), (10**9, 5), (3, 5)])
+def test_suffix_dedup_deals_out_common_grams(spark, monkeypatch, dealt, crowd):
+    from plumbline.llm import common
+
+    def with_bounds(df, read, out, body):
+        def run(batches):
+            from plumbline.llm import suffixdedup as there
+
+            usual, there.DEALT = there.DEALT, dealt
+            try:
+                yield from body(batches)
+            finally:
+                there.DEALT = usual
+
+        return common.map_columns(df, read, out, run)
+
+    monkeypatch.setattr(suffixdedup, "map_columns", with_bounds)
+    monkeypatch.setattr(suffixdedup, "CROWD", crowd)
+    rng = random.Random(13)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    short, long = prose(60), prose(140)
+    texts = {i: prose(rng.randint(0, 150)) + rng.choice([short, short, long]) + prose(rng.randint(0, 150)) for i in range(90)}
+    texts |= {200 + i: texts[rng.randrange(90)][rng.randint(0, 40) :] + prose(60) for i in range(40)}
+    assert check_repeats(spark, texts, 3) > 30
+
+
 def test_suffix_dedup_of_repeated_rows_and_no_rows(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("abcdef") for _ in range(300))
