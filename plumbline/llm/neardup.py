@@ -1,11 +1,12 @@
 """Near duplicates by SimHash candidates and the exact likeness of shingle sets.
 
 Texts are near duplicates if the sets of their word shingles have a Jaccard likeness of at least
-``similarity``; classes are the components of such pairs. Candidates are pairs of fingerprints within
-``radius`` bits (see simhash), whose sets may be as like as their sizes allow; each candidate is then
-checked on the sets themselves. A first search gives only a spanning forest of each task's
-candidates, the nearest first, so groups of copies never give all their pairs; a second one gives
-every candidate between the classes that the first one left apart.
+``similarity``; classes are the components of such pairs. Fingerprints have 128 bits: two SimHashes of
+the same shingles. The first one is searched by multi-index hashing (see simhash) for pairs within
+``radius`` bits; the complete distance, of both, then tells near texts from chance. Each task gives a
+spanning forest of its candidates, and the components of those forests are the groups of texts that
+may be alike. Inside a group all pairs of sets are compared exactly: each set goes once to its group's
+task, or, in a large group, to the cells of a triangle of blocks, so that no task grows with a group.
 """
 
 from __future__ import annotations
@@ -20,13 +21,18 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut_lineage, map_columns, small_side, text_bytes
 from plumbline.llm.components import BROADCAST_ROWS, connected_components
-from plumbline.llm.simhash import _dealt, fingerprint_of
+from plumbline.llm.simhash import _dealt, majority, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Two equally long sets of likeness 0.8 have fingerprints that differ in 9.7 bits on average, with a deviation of 2.9.
-RADIUS = 14
-#: Rows of a bucket compared at once with the others, and links held before they are thinned to a forest.
-TILE, HELD = 256, 200_000
+#: Two equally long sets of likeness 0.8 have 64-bit fingerprints that differ in 9.7 bits on average, with a deviation of
+#: 2.9, and 128-bit ones in 19.4 with 4.1; those of unlike texts differ in 32 with 4 and in 64 with 5.7.
+RADIUS, WHOLE_RADIUS = 14, 35
+#: Rows of a bucket compared at once with the others; candidates a row beyond which a bucket is searched as a graph.
+TILE, MANY = 256, 8
+#: Candidates held before they are thinned to a forest.
+HELD = 200_000
+#: Texts, and shingles, of one block of a group, some.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 
 
 def scheme(radius: int) -> list[tuple[int, int]]:
@@ -38,39 +44,44 @@ def scheme(radius: int) -> list[tuple[int, int]]:
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text; a text of fewer words is one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    joined, digest = [b" ".join(words[k : k + shingle]) for k in range(max(len(words) - shingle + 1, 1))], xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(x, 42) for x in joined], np.uint64)).view(np.int64)
+    return np.unique(shingle_hashes(text, shingle)).view(np.int64)
+
+
+def _second(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, for the second half of a fingerprint (the finalizer of splitmix64)."""
+    h = hashes.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
+    return (h ^ h >> np.uint64(31)).astype("<u8")
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id``, ``key`` (hash of the text), ``node`` (hash of its set), ``n`` (size of the set) and ``fp`` of each row."""
+    """``doc_id``, ``key`` (hash of the text), ``node`` (hash of its set), ``n`` (size of the set), ``fp`` and ``fp2`` of each row."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            nodes, sizes, fps = [], [], []
+            nodes, sizes, fps, others = [], [], [], []
             for x in batch.column(2):
-                found = shingles(x.as_py(), shingle)
+                every = shingle_hashes(x.as_py(), shingle)
+                found = np.unique(every)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), 7))
                 sizes.append(len(found))
-                fps.append(fingerprint_of(x.as_py(), shingle))
+                fps.append(majority(every))
+                others.append(majority(_second(every)))
             signed = lambda v: np.array(v, np.uint64).view(np.int64)
-            yield {"doc_id": batch.column(0), "key": batch.column(1), "node": signed(nodes), "n": sizes, "fp": signed(fps)}
+            yield {"doc_id": batch.column(0), "key": batch.column(1), "node": signed(nodes), "n": sizes, "fp": signed(fps), "fp2": signed(others)}
 
     read = [F.col("doc_id").cast("bigint"), F.xxhash64(text_bytes()), text_bytes()]
-    return map_columns(docs, read, "doc_id bigint, key bigint, node bigint, n int, fp bigint", body)
+    return map_columns(docs, read, "doc_id bigint, key bigint, node bigint, n int, fp bigint, fp2 bigint", body)
 
 
 def _thin(links: list[np.ndarray]) -> list[np.ndarray]:
-    """A spanning forest of links (a, b, bits), the fewest bits first."""
-    rows = np.concatenate(links)
-    rows = rows[np.argsort(rows[:, 2], kind="stable")]  # an edge's place is its rank, so no two weigh the same
-    names, numbers = np.unique(rows[:, :2], return_inverse=True)
+    """A spanning forest of links (a, b)."""
+    rows = np.unique(np.concatenate(links), axis=0)
+    names, numbers = np.unique(rows, return_inverse=True)
     a, b = numbers.reshape(-1, 2).T
     part, chosen, left = np.arange(len(names)), [], np.arange(len(rows))
-    while True:  # every part takes its nearest link to another one
+    while True:  # every part takes its first link to another one
         left = left[part[a[left]] != part[b[left]]]
         if not len(left):
             return [rows[np.unique(np.concatenate(chosen))] if chosen else rows[:0]]
@@ -90,47 +101,76 @@ def _thin(links: list[np.ndarray]) -> list[np.ndarray]:
         part = to[part]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, forest: bool) -> Iterator[dict]:
-    """Candidates of rows of _dealt with n and root; a task holds one bucket's cell, and HELD links."""
+class _Near:
+    """Which rows of a bucket are candidates of each other."""
+
+    def __init__(self, filed: np.ndarray, fp: np.ndarray, fp2: np.ndarray, n: np.ndarray, radius: int, whole: int, similarity: float) -> None:
+        self.filed, self.fp, self.fp2, self.n = filed, fp, fp2, n
+        self.radius, self.whole, self.similarity = radius, whole, similarity
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates (i, j) among the rows a and b, as numbers within a and b."""
+        bits = np.bitwise_count(self.fp[a][:, None] ^ self.fp[b][None])
+        i, j = np.nonzero(bits <= self.radius)
+        x, y = a[i], b[j]
+        few, many = np.minimum(self.n[x], self.n[y]), np.maximum(self.n[x], self.n[y])
+        ok = (few >= self.similarity * many - 1e-9) & (self.filed[x] | self.filed[y]) & (x != y)
+        ok[ok] = bits[i[ok], j[ok]] + np.bitwise_count(self.fp2[x[ok]] ^ self.fp2[y[ok]]) <= self.whole
+        return i[ok], j[ok]
+
+    def forest(self) -> list[np.ndarray]:
+        """Links (row, row) that join what candidates join: few candidates as they are, many as a search through the graph."""
+        rows, found, count = np.arange(len(self.fp)), [], 0
+        for at in range(0, len(rows), TILE):
+            i, j = self.pairs(rows[at : at + TILE], rows[at:])
+            later = j > i
+            found.append(np.stack((i[later], j[later]), axis=1) + at)
+            count += len(found[-1])
+            if count > MANY * len(rows):
+                return self._search()
+        return found
+
+    def _search(self) -> list[np.ndarray]:
+        found, left = [], np.arange(len(self.fp))  # what a row reaches leaves the rows still to be reached
+        while len(left):
+            front, left = left[:1], left[1:]
+            while len(front) and len(left):
+                some, front = front[:TILE], front[TILE:]
+                i, j = self.pairs(some, left)
+                new, at = np.unique(j, return_index=True)
+                found.append(np.stack((some[i[at]], left[new]), axis=1))
+                front = np.concatenate((front, left[new]))
+                left = np.delete(left, new)
+        return found
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], radius: int, whole: int, similarity: float) -> Iterator[dict]:
+    """A forest of the candidates among rows of _dealt with n and fp2; a task holds one bucket's cell, and HELD links."""
     held: list[np.ndarray] = []
     count, rest = 0, None
 
-    def give() -> dict:
-        nonlocal held, count
-        pairs = np.concatenate(held) if held else np.zeros((0, 3), np.int64)
-        low, high = np.minimum(pairs[:, 0], pairs[:, 1]), np.maximum(pairs[:, 0], pairs[:, 1])
-        held, count = [], 0
-        return {"a": low, "b": high}
-
     def search(rows: tuple[np.ndarray, ...]) -> Iterator[dict]:
         nonlocal held, count
-        seg, val, cell, filed, fp, rep, n, root = rows
+        seg, val, cell, filed, fp, rep, n, fp2 = rows
         new = np.ones(len(seg), bool)
         new[1:] = (seg[1:] != seg[:-1]) | (val[1:] != val[:-1]) | (cell[1:] != cell[:-1])
         edges = np.append(np.flatnonzero(new), len(seg)).tolist()
         for s, e in zip(edges, edges[1:]):
-            for at in range(s, e - 1, TILE):
-                to = min(at + TILE, e)
-                bits = np.bitwise_count(fp[at:to, None] ^ fp[None, at:e])
-                i, j = np.nonzero(bits <= radius)
-                i, j = i[j > i], j[j > i]
-                near = bits[i, j].astype(np.int64)
-                i, j = i + at, j + at
-                few, many = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                ok = (filed[i] | filed[j]) & (root[i] != root[j]) & (few >= similarity * many - 1e-9)
-                if ok.any():
-                    held.append(np.stack((rep[i[ok]], rep[j[ok]], near[ok]), axis=1))
-                    count += len(held[-1])
-                    if count > HELD:
-                        if forest:
-                            held = _thin(held)
-                            count = len(held[0])
-                        if count > HELD // 2:
-                            yield give()
+            if e - s > 1:
+                for links in _Near(filed[s:e], fp[s:e], fp2[s:e], n[s:e], radius, whole, similarity).forest():
+                    if len(links):
+                        held.append(np.sort(rep[links + s], axis=1))
+                        count += len(links)
+                if count > HELD:
+                    held = _thin(held)
+                    count = len(held[0])
+                    if count > HELD // 2:
+                        yield {"a": held[0][:, 0], "b": held[0][:, 1]}
+                        held, count = [], 0
 
     for batch in batches:
         new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
-        new[3], new[4] = new[3].astype(bool), new[4].view(np.uint64)
+        new[3], new[4], new[7] = new[3].astype(bool), new[4].view(np.uint64), new[7].view(np.uint64)
         rows = tuple(new) if rest is None else tuple(np.concatenate(x) for x in zip(rest, new))
         if not len(rows[0]):
             continue
@@ -141,39 +181,97 @@ def _candidates(batches: Iterator[pa.RecordBatch], radius: int, similarity: floa
             yield from search(tuple(x[:cut] for x in rows))
     if rest is not None:
         yield from search(rest)
-    if forest and held:
+    if held:
         held = _thin(held)
-    yield give()
+        yield {"a": held[0][:, 0], "b": held[0][:, 1]}
 
 
-def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets have at least the likeness ``similarity``."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut_lineage(nodes.select("node", "key").dropDuplicates(["node"]).join(ends, "node").select(F.col("key").alias("__key"), "node"))
-    texts = docs.select(F.xxhash64(text_bytes()).alias("__key"), text_bytes()).join(small_side(wanted, BROADCAST_ROWS), "__key")
+def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
+    """A spanning forest (i, j) of the pairs of sets with at least the likeness ``similarity``.
+
+    side: 0 or 1 for each set, in this order; pairs of one side are left out unless all are of one side. One
+    set is marked among all shingles at a time, and counted in all others at once.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    marks = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int64)
+    both = len(np.unique(side)) > 1
+    filled, part, links = np.flatnonzero(sizes), np.arange(len(sets)), []
+    for k, i in enumerate(filled.tolist()):
+        if both and side[i]:
+            continue
+        others = filled[side[filled] == 1] if both else filled[k + 1 :]
+        if not len(others):
+            continue
+        own = ids[starts[i] : ends[i]]
+        marks[own] = 1
+        low = int(starts[others[0]])
+        common = np.add.reduceat(marks[ids[low:]], starts[others] - low)
+        marks[own] = 0
+        near = others[common * (1 + similarity) >= (sizes[i] + sizes[others]) * similarity - 1e-9]
+        near = near[part[near] != part[i]]
+        if len(near):
+            parts, first = np.unique(part[near], return_index=True)
+            links += [(i, j) for j in near[first].tolist()]
+            part[np.isin(part, parts)] = part[i]
+    return np.array(links, np.int64).reshape(-1, 2)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[dict]:
+    """Rows (root, cell, side, node, set) come sorted by group and cell; gives forests of alike nodes."""
+    held, name = [], None
+
+    def judged() -> dict:
+        held.sort(key=lambda x: (x[0], x[1]))  # sides follow each other
+        once = [x for k, x in enumerate(held) if not k or x[:2] != held[k - 1][:2]]
+        nodes = np.array([x[1] for x in once], np.int64)
+        links = alike([np.frombuffer(x[2], np.int64) for x in once], np.array([x[0] for x in once]), similarity)
+        return {"a": nodes[links[:, 0]], "b": nodes[links[:, 1]]}
+
+    for batch in batches:
+        for root, cell, side, node, found in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if (root, cell) != name:
+                if len(held) > 1:
+                    yield judged()
+                held, name = [], (root, cell)
+            held.append((side, node, found))
+    if len(held) > 1:
+        yield judged()
+
+
+def _links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Forests of the pairs (a, b) of nodes with at least the likeness ``similarity`` within each group (node, root)."""
+    grouped = nodes.join(small_side(groups, BROADCAST_ROWS), "node").select("node", "n", "doc", "key", "root")
+    grouped = cut_lineage(grouped)
+    sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    sizes = cut_lineage(sizes.select("root", blocks.alias("blocks")))
+    wanted = cut_lineage(grouped.join(small_side(sizes, BROADCAST_ROWS), "root")).withColumnRenamed("key", "__key")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("__id"), F.xxhash64(text_bytes()).alias("__key"), text_bytes())
+    texts = texts.join(small_side(wanted, BROADCAST_ROWS), ["__key"]).where(F.col("__id").eqNullSafe(F.col("doc")))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen: set[int] = set()
+        seen: set[int] = set()  # rows that repeat an id and a text give their set once a task
         for batch in batches:
-            out: dict[str, list] = {"node": [], "set": []}
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if node not in seen:
-                    seen.add(node)
-                    out["node"].append(node)
-                    out["set"].append(shingles(text.as_py(), shingle))
-            yield out
-
-    sets = map_columns(texts, [F.col("node"), F.col("text")], "node bigint, set array<bigint>", body)
-    sets = cut_lineage(sets.dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b"
-    )
-    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return cut_lineage(both.where(common * (1 + similarity) >= total * similarity - 1e-9).select("a", "b"))
+            names = batch.column(2).to_pylist()
+            new = [k for k, node in enumerate(names) if node not in seen and not seen.add(node)]
+            out = {c: batch.column(i).take(pa.array(new, pa.int64())) for i, c in enumerate(("root", "blocks", "node"))}
+            yield out | {"set": [shingles(batch.column(3)[k].as_py(), shingle).tobytes() for k in new]}
+
+    sets = map_columns(texts, [F.col(c) for c in ("root", "blocks", "node", "text")], "root bigint, blocks int, node bigint, set binary", body)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = sets.select("*", own.alias("own"), other.alias("other")).select(
+        "root", (F.least("own", "other").cast("bigint") * F.col("blocks") + F.greatest("own", "other")).alias("cell"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "set",
+    ).repartition("root", "cell").sortWithinPartitions("root", "cell")
+    return map_columns(dealt, [F.col(c) for c in dealt.columns], "a bigint, b bigint", lambda batches: _verified(batches, similarity))
 
 
 def near_classes(
-    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = 2048
+    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, whole: int = WHOLE_RADIUS, block: int = 2048
 ) -> DataFrame:
     """``doc_id``, ``key`` (hash of the text) and ``least`` (least doc_id of the class) of every row of ``docs``.
 
@@ -181,23 +279,16 @@ def near_classes(
     texts to each other like any other; a class of such rows only has no least id.
     """
     marked = cut_lineage(_marked(docs, shingle))
-    nodes = cut_lineage(marked.groupBy("node", "fp").agg(F.min("key").alias("key"), F.first("n").alias("n")))
-    edges = None
-    for forest in (True, False):
-        rows = nodes.select("fp", F.col("node").alias("rep"), "n", F.col("node").alias("root"))
-        if edges is not None:
-            found = cut_lineage(connected_components(edges).withColumnRenamed("node", "rep").withColumnRenamed("root", "joined"))
-            rows = rows.join(small_side(found, BROADCAST_ROWS), "rep", "left").select(
-                "fp", "rep", "n", F.coalesce("joined", "root").alias("root")
-            )
-        dealt = _dealt(rows, scheme(radius), block, ("n", "root"))
-        pairs = map_columns(
-            dealt, [F.col(c) for c in dealt.columns], "a bigint, b bigint",
-            lambda batches, forest=forest: _candidates(batches, radius, similarity, forest),
-        )
-        more = _alike(docs, nodes, cut_lineage(pairs.distinct()), shingle, similarity)
-        edges = more if edges is None else cut_lineage(edges.union(more))
-    roots = cut_lineage(connected_components(edges))
+    one = F.min(F.struct(F.col("doc_id").alias("doc"), "key"))  # the row whose text gives the set
+    nodes = marked.groupBy("node").agg(one.alias("one"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"))
+    nodes = cut_lineage(nodes.select("node", "one.doc", "one.key", "n", "fp", "fp2"))
+    dealt = _dealt(nodes.select("fp", F.col("node").alias("rep"), "n", "fp2"), scheme(radius), block, ("n", "fp2"))
+    pairs = map_columns(
+        dealt, [F.col(c) for c in dealt.columns], "a bigint, b bigint",
+        lambda batches: _candidates(batches, radius, whole, similarity),
+    )
+    groups = cut_lineage(connected_components(pairs))
+    roots = cut_lineage(connected_components(_links(docs, nodes, groups, shingle, similarity)))
     rooted = cut_lineage(
         marked.join(small_side(roots, BROADCAST_ROWS), "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     )

@@ -31,24 +31,30 @@ SCHEMES = [
 ]
 
 
-def fingerprint_of(text: bytes, shingle: int = 4, lower: bool = True) -> int:
-    """SimHash of one text, unsigned; 0 for a text without words."""
+def shingle_hashes(text: bytes, shingle: int = 4, lower: bool = True) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle of a text, repeats included; of the whole sequence if it is shorter."""
     words = (text.lower() if lower else text).split()
-    if not words:
-        return 0
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return np.array([digest(b" ".join(words), 42)] if words else [], "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
-    ends = ends[shingle - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    counts, total = np.zeros(64, np.int64), len(starts)
-    for k in range(0, total, 65_536):
-        hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts[k : k + 65_536], ends[k : k + 65_536])], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned number."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 65_536):
+        bits = np.unpackbits(hashes[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint_of(text: bytes, shingle: int = 4, lower: bool = True) -> int:
+    """SimHash of one text, unsigned; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle, lower))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -238,13 +244,3 @@ def hex_fingerprint(fp: str = "fp") -> Column:
     """16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
-
-def keep_representatives(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of their class: one document a group.
-
-    The ids that go, and those only, are joined to the texts. A repeated doc_id stays as often as it
-    occurs; rows without a doc_id stay.
-    """
-    found = near_duplicates(docs, shingle, radius)
-    gone = cut_lineage(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

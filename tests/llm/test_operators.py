@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, mixing, quality, secrets, sharding, simhash
+from plumbline.llm import bpe, mixing, neardup, quality, secrets, sharding, simhash
 
 DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint, bytes string, kept string"
 
@@ -395,6 +395,50 @@ def test_near_dedup_stage_keeps_one_of_likeness_above_the_limit(spark, empty):
     assert corpus_pipeline.near_dedup_stage(spark, empty, "").count() == 0
 
 
+@pytest.mark.parametrize("blocks, cells", [(3, 2048), (1024, 20)])
+def test_near_dedup_in_cells(spark, monkeypatch, blocks, cells):
+    """Large groups are compared in cells of blocks, large buckets in cells: the classes are the same."""
+    monkeypatch.setattr(neardup, "BLOCK", blocks)
+    rows = near_rows(12)
+    docs = spark.createDataFrame(rows, DDL).repartition(3)
+    least = {(r["doc_id"], r["key"]): r["least"] for r in neardup.near_classes(docs, block=cells).collect()}
+    kept = {r[0] for r in brute_kept(rows)}
+    mine = {d for (d, _), m in least.items() if d == m}
+    assert kept <= mine and len(mine - kept) <= 3
+
+
+def test_alike_sets_and_candidates_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        base = rng.integers(0, 2**62, 60)
+        sets = [np.unique(np.concatenate((rng.choice(base, rng.integers(0, 60), replace=False), rng.integers(0, 2**62, rng.integers(0, 12))))) for _ in range(24)]
+        sets[3] = sets[4] = sets[5][:0]
+        for side in (np.zeros(24, int), np.repeat([0, 1], 12)):
+            def classes(pairs):
+                part = list(range(24))
+                for i, j in pairs:
+                    part = [part[i] if x == part[j] else x for x in part]
+                return sorted(tuple(i for i in range(24) if part[i] == p) for p in set(part))
+
+            like = lambda x, y: len(x) and len(y) and len(np.intersect1d(x, y)) >= 0.5 * len(np.union1d(x, y))
+            pairs = [(i, j) for i in range(24) for j in range(i) if like(sets[i], sets[j]) and (side[i] != side[j] or not side.any())]
+            assert classes(neardup.alike(sets, side, 0.5).tolist()) == classes(pairs)
+    fp = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    fp[50:200] = fp[7] ^ (np.uint64(1) << rng.integers(0, 63, 150, dtype=np.uint64))
+    n, filed = rng.integers(90, 100, 300), rng.random(300) < 0.6
+    near = neardup._Near(filed, fp, fp, n, 4, 8, 0.8)
+    want = {(i, j) for i in range(300) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 4 and (filed[i] or filed[j])}
+
+    def parts(links):
+        part = np.arange(300)
+        for i, j in links:
+            part[part == part[j]] = part[i]
+        return {tuple(np.flatnonzero(part == p)) for p in set(part.tolist())}
+
+    for found in (near.forest(), near._search()):
+        assert parts(np.concatenate(found).tolist()) == parts(want)
+
+
 @pytest.fixture(scope="module")
 def encoding():
     import base64
