@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from plumbline.operators import normalize, validate
 from plumbline.sources import registry
+from plumbline.sources.folders import shared_folder
 from plumbline.streaming.validate import run_once, validate_stream
 
 RATE = """concat('{"rate":', CAST(l_discount * 20 AS STRING), ',"p":', CAST(l_tax AS STRING), '}')"""
@@ -96,8 +97,7 @@ def stream_validate(spark, sf_dir):
     schema = _table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = stream.select(F.col("event_id").cast("string").alias("node_id"), F.lit("lora-adapter").alias("component_id"), F.expr(LORA).alias("config"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return _out(run_once(spark, validate_stream(rows), f"{folder}/streams"))
+    return _out(run_once(spark, validate_stream(rows), f"{shared_folder(spark)}/streams"))
 
 
 def validate_output_optimizer(spark, sf_dir):
