@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,20 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.sources.folders import shared_folder
+
 #: A word of a text: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests on one machine, a temporary folder is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    """Write ``df`` to the reliable checkpoint folder, which all machines share, and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
