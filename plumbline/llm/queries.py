@@ -22,7 +22,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by place; the value itself is given as a digest."""
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return found.select(
         "doc_id", "start", "length", "kind", F.sha2("value", 256).alias("value_sha256"), F.round("probability", 6).alias("probability"), "is_secret"
     )
