@@ -44,7 +44,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; every document stays."""
     _small_batches(spark)
-    return secrets.redact_secrets(docs)
+    return secrets.redact_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
