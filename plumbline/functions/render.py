@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.contracts.registry import DIAGNOSTICS
+from plumbline.functions.binding import let
 
 
 @F.pandas_udf(T.StringType())
@@ -29,7 +30,7 @@ def _printed(texts: pd.Series, kinds: pd.Series) -> pd.Series:
 
 
 def is_number(kind: Column) -> Column:
-    return kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$")
+    return kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE") | kind.startswith("DECIMAL")
 
 
 def is_int_text(text: Column) -> Column:
@@ -60,7 +61,8 @@ def float_text(text: Column) -> Column:
         F.lpad(F.abs(exponent).cast("string"), 2, "0"),
     )
     return (
-        F.when(F.isnan(d), "nan")
+        F.when(F.abs(d).between(1e-3, 9_999_999.0), s)  # as both print them
+        .when(F.isnan(d), "nan")
         .when(s.isin("Infinity", "-Infinity"), F.concat(sign, F.lit("inf")))
         .when(exponent.isNull(), s)
         .when(exponent >= 0, F.concat(sign, point))
@@ -85,7 +87,7 @@ def repr_text(text: Column, kind: Column) -> Column:
     odd = (
         kind.startswith("ARRAY") | kind.startswith("OBJECT")
         | ((kind == "STRING") & text.rlike("['\\\\\\\\]|[^ -~]"))
-        | (is_number(kind) & ~is_int_text(text) & (F.abs(text.try_cast("double")) >= 1e15) & (F.abs(text.try_cast("double")) < 1e308))
+        | (is_number(kind) & F.abs(text.try_cast("double")).between(1e15, 1e308) & ~is_int_text(text))
     )
     plain = F.when(kind == "STRING", F.concat(F.lit("'"), text, F.lit("'"))).otherwise(str_text(text, kind))
     return F.when(F.coalesce(odd, F.lit(False)), _printed(F.when(odd, text), kind)).otherwise(plain)
@@ -151,11 +153,20 @@ def js_str(text: Column, kind: Column) -> Column:
     What is missing is ``undefined``. Arrays of one element, and such arrays in each other up to three
     deep, give their element's string; others give their JSON text, which equals no name.
     """
-    for _ in range(3):
-        items = F.from_json(F.when(kind.startswith("ARRAY"), text), "array<string>")
-        alone = F.coalesce(F.size(items) == 1, F.lit(False))
-        text, kind = F.when(alone, F.get(items, 0)).otherwise(text), F.when(alone, F.regexp_extract(kind, "^ARRAY<(.*)>$", 1)).otherwise(kind)
-    return F.when(kind.isNull() | (kind == "UNDEFINED"), "undefined").when(kind == "VOID", "null").otherwise(_js_scalar(text, kind))
+
+    def opened(x: Column) -> Column:
+        def inner(items: Column) -> Column:
+            first = F.struct(F.get(items, 0).alias("text"), F.regexp_extract(x["kind"], "^ARRAY<(.*)>$", 1).alias("kind"))
+            return F.when(F.size(items) == 1, first).otherwise(x)
+
+        return F.when(x["kind"].startswith("ARRAY"), let(F.from_json(x["text"], "array<string>"), inner)).otherwise(x)
+
+    def shown(text: Column, kind: Column) -> Column:
+        return F.when(kind.isNull() | (kind == "UNDEFINED"), "undefined").when(kind == "VOID", "null").otherwise(_js_scalar(text, kind))
+
+    whole = F.struct(text.alias("text"), kind.alias("kind"))
+    deep = let(whole, lambda a: let(opened(a), lambda b: let(opened(b), lambda c: let(opened(c), lambda x: shown(x["text"], x["kind"])))))
+    return F.when(kind.startswith("ARRAY"), deep).otherwise(shown(text, kind))
 
 
 def js_repr(text: Column, kind: Column) -> Column:
@@ -174,30 +185,11 @@ def js_repr(text: Column, kind: Column) -> Column:
     return F.when(odd, _js_printed(F.when(odd, text))).otherwise(plain)
 
 
-def filled(template: str, **values: Column) -> Column:
-    """A template with its placeholders filled: pieces are concatenated, so a value may hold braces."""
-    parts: list[Column] = []
-    for piece in re.split(r"(\{\w+\})", template.replace("{{", "\x00").replace("}}", "\x01")):
-        if re.fullmatch(r"\{\w+\}", piece):
-            parts.append(F.coalesce(values[piece[1:-1]], F.lit("")))
-        elif piece:
-            parts.append(F.lit(piece.replace("\x00", "{").replace("\x01", "}")))
-    return F.concat(*parts)
-
+def rendered(code: str, joint: str = "_", **values: str) -> tuple[str, str, str, str | None, str]:
+    """type, severity, the message before and after the value that was found (after: null if it names none), and the hint.
 
-def by_code(code: Column, of) -> Column:
-    out = None
-    for name, row in DIAGNOSTICS.items():
-        out = F.when(code == name, of(row)) if out is None else out.when(code == name, of(row))
-    return out
-
-
-def rendered(code: Column, joint: str = "_", **values: Column) -> tuple[Column, Column, Column, Column]:
-    """type, severity, message and hint of a diagnostic; joint: what stands between the type's two words."""
-    severity = by_code(code, lambda row: F.lit(row[0]))
-    return (
-        F.concat(F.lit("parameter" + joint), severity),
-        severity,
-        by_code(code, lambda row: filled(row[1], **values)),
-        by_code(code, lambda row: filled(row[2], **values)),
-    )
+    All else of a message is known from the contract. joint: what stands between the type's two words.
+    """
+    severity, template, hint = DIAGNOSTICS[code]
+    before, *after = template.format(**values, got="\x00").split("\x00")
+    return "parameter" + joint + severity, severity, before, "\x00".join(after) if after else None, hint.format(**values, got="")

@@ -32,7 +32,7 @@ TILE, MANY = 256, 8
 #: Candidates held before they are thinned to a forest.
 HELD = 200_000
 #: Texts, and shingles, of one block of a group, some.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 
 
 def scheme(radius: int) -> list[tuple[int, int]]:
