@@ -189,9 +189,12 @@ def dialect_diff(df: DataFrame, **options) -> DataFrame:
 
     ``options`` are those of validate_configs. The types, which always differ, are left out.
     """
-    of = {d: validate_configs(df, **options, dialect=d).drop("type") for d in ("python", "ts")}
-    only = lambda a, b: of[a].exceptAll(of[b]).withColumn("dialect", F.lit(a))
-    return only("python", "ts").unionByName(only("ts", "python"))
+    of = {d: validate_configs(df, **options, dialect=d).drop("type").withColumn("__n", F.lit(n)) for d, n in (("python", 1), ("ts", -1))}
+    both = of["python"].unionByName(of["ts"])
+    columns = [c for c in both.columns if c != "__n"]
+    counted = both.groupBy(*columns).agg(F.sum("__n").alias("__n")).where("__n != 0")
+    dialect = F.when(F.col("__n") > 0, "python").otherwise("ts")
+    return counted.withColumn("dialect", dialect).withColumn("__n", F.explode(F.sequence(F.lit(1), F.abs("__n")))).drop("__n")
 
 
 def _param_rows(dialect: str) -> list[dict]:

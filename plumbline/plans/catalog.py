@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.contracts.registry import COMPONENTS_TEXT, DIAGNOSTICS, contract
 from plumbline.operators import normalize, validate
 from plumbline.sources import registry
 from plumbline.sources.folders import shared_folder
@@ -187,8 +188,41 @@ def param_flags(spark, sf_dir):
     return validate.param_flags(rows).select("o_orderkey", "is_integer", "is_applicable")
 
 
+#: (component, config) by p_partkey: values of other kinds, below the recommended range, under an alias, and with notes.
+VALUES = (
+    ("dense-layer", '{"units":"many"}'), ("dense-layer", '{"units":true}'), ("dense-layer", '{"units":{"a":1,"b":[null,"x"]}}'),
+    ("dense-layer", '{"units":8,"useBias":"banana"}'), ("dense-layer", '{"units":8,"activation":"linear"}'),
+    ("output-layer", '{"learningRate":0.000001}'), ("output-layer", '{"learningRate":2}'), ("dropout", '{"rate":null,"p":1.5}'),
+    ("dropout", '{"rate":0.5,"p":1.5}'), ("instance-normalization", '{"affine":false}'), ("instance-normalization", '{"affine":"no"}'),
+    ("reshape", '{"targetShape":7}'), ("no-such-component", '{"units":"many"}'),
+)
+
+
+def validate_values(spark, sf_dir):
+    picked = F.element_at(F.array(*[F.struct(F.lit(c).alias("component_id"), F.lit(t).alias("config")) for c, t in VALUES]), (F.col("p_partkey") % len(VALUES) + 1).cast("int"))
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("node_id"), picked.alias("q")).select("node_id", "q.*")
+    return _out(validate.validate_configs(rows))
+
+
+#: Ids of nodes as documents write them, and as verdicts name them.
+IDS = (('"id":null,', "None"), ("", ""), ('"id":12,', "12"), ('"id":1.50,', "1.5"), ('"id":true,', "True"), ('"id":"a b",', "a b"))
+
+
+def node_ids(spark, sf_dir):
+    text = F.concat(F.lit('{"nodes":[{'), _pick(tuple(i for i, _ in IDS), "p_partkey"), F.lit('"data":{"componentId":"dropout","config":{"rate":2}}}]}'))
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("arch_id"), text.alias("diagram"))
+    return _out(validate.validate_architectures(rows))
+
+
+def registry_contract(spark, sf_dir):
+    """Version and sizes of the contract, from its document."""
+    found = contract()
+    sizes = (found["version"], len(found["components"]), sum(len(c["params"]) for c in found["components"]), len(found["diagnostics"]))
+    return spark.createDataFrame([sizes], "version bigint, n_components bigint, n_params bigint, n_diagnostics bigint")
+
+
 def registry_components(spark, sf_dir):
-    return registry.registry_components(spark).select("component_id", "layer_type", "requires_incoming_input", "formula_kind", F.to_json("formula_roles").alias("formula_roles"))
+    return registry.registry_components(spark).select("component_id", "layer_type", "requires_incoming_input", "formula_kind", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("formula_roles")))).alias("formula_roles"))
 
 
 def registry_params(spark, sf_dir):
@@ -211,7 +245,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         validate_output_optimizer, advisory_notes, validate_enum, validate_quantization_bits, key_variant_resolution,
         validate_architecture, resolve_component, normalize_padding, normalize_diagram, normalize_layers, param_flags,
         registry_components, registry_params, registry_diagnostics, severity_summary,
-        validate_conv_padding_ts, validate_lora_ts, validate_quantization_bits_ts, dialect_diff,
+        validate_conv_padding_ts, validate_lora_ts, validate_quantization_bits_ts, dialect_diff, validate_values, node_ids, registry_contract,
     )
     return {f.__name__: f for f in every}
 
@@ -248,6 +282,76 @@ def _enum(field: str, pos: int, values: str, value: str) -> str:
       concat('{field} must be one of {v}, got ', {value}) AS message, 'choose {field} from {v}' AS hint"""
 
 
+def _below(field: str, pos: int, bound: str, value: str) -> str:
+    return f"""{pos} AS pos, 0 AS diag, 'warning' AS sev, 'PARAM_NUMBER_BELOW_RECOMMENDED' AS code, '{field}' AS field, '{bound}' AS expected, {value} AS got,
+      concat('{field} = ', {value}, ' is unusually low (recommended >= {bound})') AS message, 'increase {field} toward {bound} unless this is deliberate' AS hint"""
+
+
+def _no_number(field: str, pos: int, value: str) -> str:
+    return f"""{pos} AS pos, 0 AS diag, 'error' AS sev, 'PARAM_NUMBER_NOT_A_NUMBER' AS code, '{field}' AS field, NULL AS expected, {value} AS got,
+      concat('{field} must be a number, got ', {value}) AS message, 'set {field} to a numeric value' AS hint"""
+
+
+def _values_sql() -> str:
+    number = lambda k, got: (k, "dense-layer", _no_number("units", 0, got))
+    linear = """1 AS pos, 0 AS diag, 'info' AS sev, 'INFO_LINEAR_ACTIVATION' AS code, 'activation' AS field, NULL AS expected, '''linear''' AS got,
+      'activation = ''linear'' applies no nonlinearity; consecutive linear layers without an activation collapse into a single linear map' AS message,
+      'add a nonlinear activation (relu/gelu/...) unless a linear projection is intended' AS hint"""
+    affine = """1 AS pos, 0 AS diag, 'info' AS sev, 'INFO_NO_NORMALIZATION_AFFINE' AS code, 'affine' AS field, NULL AS expected, 'False' AS got,
+      'affine = False disables the learnable affine transform; the layer normalizes but adds no trainable scale/shift' AS message,
+      'enable affine to restore the per-feature scale/shift unless intended' AS hint"""
+    rows = [
+        number(0, "'''many'''"), number(1, "'True'"), number(2, "'{''a'': 1, ''b'': [None, ''x'']}'"), (4, "dense-layer", linear),
+        (5, "output-layer", _below("learningRate", 6, "1e-05", "'1e-06'")), (6, "output-layer", _over("learningRate", 6, "1", "'2'")),
+        (7, "dropout", _over("rate", 0, "1", "'1.5'")), (9, "instance-normalization", affine),
+    ]
+    each = lambda k, row: f"SELECT CAST(p_partkey AS VARCHAR) AS node_id, {row} FROM part WHERE p_partkey % {len(VALUES)} = {k}"
+    return " UNION ALL ".join(f"SELECT * FROM ({_sql(each(k, row), component)})" for k, component, row in rows)
+
+
+#: The contract's text, read by SQL: a component's lines, and the words of each.
+CONTRACT_SQL = f"""
+lines AS (
+  SELECT no, line, line NOT LIKE ' %' AS head, string_split(trim(line), ' ') AS words
+  FROM (SELECT unnest(string_split($text${COMPONENTS_TEXT}$text$, chr(10))) AS line, generate_subscripts(string_split($text${COMPONENTS_TEXT}$text$, chr(10)), 1) AS no)
+  WHERE line <> ''
+), owned AS (
+  SELECT *, max(CASE WHEN head THEN no END) OVER (ORDER BY no) AS owner FROM lines
+)"""
+COMPONENTS_SQL = f"""WITH {CONTRACT_SQL}
+SELECT words[1] AS component_id, words[2] AS layer_type, NOT list_contains(words, 'source') AS requires_incoming_input,
+  nullif(regexp_extract(line, ' = (\\S+)', 1), '') AS formula_kind,
+  '{{' || array_to_string(list_transform(list_sort(list_filter(words, lambda w: contains(w, ':'))), lambda w: '"' || replace(w, ':', '":"') || '"'), ',') || '}}' AS formula_roles
+FROM owned WHERE head"""
+PARAMS_SQL = f"""WITH {CONTRACT_SQL}, params AS (
+  SELECT o.no, h.words[1] AS component_id, CAST(row_number() OVER (PARTITION BY o.owner ORDER BY o.no) - 1 AS INT) AS param_pos, o.words[1] AS key, o.words[2] AS type, o.words[3:] AS rest,
+    regexp_replace(o.line, ' (alias|when|note|warn) \\S+', '', 'g') AS plain, o.line
+  FROM owned o JOIN owned h ON o.owner = h.no WHERE NOT o.head
+), named AS (
+  SELECT *, regexp_extract_all(line, ' alias (\\S+)', 1) AS aliases, regexp_extract(plain, ' (\\S*)\\.\\.', 1) AS low, regexp_extract(plain, '\\.\\.(\\S*)', 1) AS high,
+    regexp_extract(line, ' warn (\\S*)\\.\\.', 1) AS wlow, regexp_extract(line, ' warn \\S*\\.\\.(\\S*)', 1) AS whigh,
+    CASE WHEN type = 'enum' THEN string_split(string_split(trim(plain), ' ')[3], '|') ELSE [] END AS vals,
+    regexp_extract_all(line, ' when (\\S+)', 1) AS whens, regexp_extract_all(line, ' note (\\S+)', 1) AS notes
+  FROM params
+), spelled AS (
+  SELECT *, list_transform([key] || aliases, lambda n: [n,
+      string_split(n, '_')[1] || array_to_string(list_transform(string_split(n, '_')[2:], lambda w: upper(w[1]) || w[2:]), ''),
+      lower(regexp_replace(n, '([A-Z])', '_\\1', 'g'))]) AS forms
+  FROM named
+), cast_ AS (
+  SELECT *, flatten(forms) AS every, try_cast(nullif(low, '') AS DOUBLE) AS a, try_cast(nullif(high, '') AS DOUBLE) AS b, try_cast(nullif(wlow, '') AS DOUBLE) AS c, try_cast(nullif(whigh, '') AS DOUBLE) AS d FROM spelled
+)
+SELECT component_id, param_pos, key, CASE WHEN type IN ('int', 'num') THEN 'number' ELSE type END AS kind, list_contains(rest, 'required') AS required,
+  a AS min, b AS max, c AS warn_min, d AS warn_max, type = 'int' AS integer, CAST(to_json(vals) AS VARCHAR) AS enum_values, CAST(to_json(aliases) AS VARCHAR) AS aliases,
+  CAST(to_json(list_filter(every, lambda x, i: list_position(every, x) = i)) AS VARCHAR) AS candidates,
+  '[' || array_to_string(list_transform(whens, lambda w: '{{"control_key":"' || string_split(w, '=')[1] || '","candidates":["' || string_split(w, '=')[1] || '"],"allowed":'
+    || CAST(to_json(list_transform(string_split(string_split(w, '=')[2], '|'), lambda v: lower(v))) AS VARCHAR) || '}}'), ',') || ']' AS applies_when,
+  '[' || array_to_string(list_transform(notes, lambda n: '{{"when_value":"' || lower(string_split(n, '=')[1]) || '","code":"' || string_split(n, '=')[2] || '"}}'), ',') || ']' AS advisories,
+  printf('%g', a) AS expected_min, printf('%g', b) AS expected_max, printf('%g', c) AS expected_warn_min, printf('%g', d) AS expected_warn_max,
+  CASE WHEN type = 'enum' THEN '[''' || array_to_string(vals, ''', ''') || ''']' END AS expected_enum
+FROM cast_"""
+
+
 def oracle_sql() -> dict[str, str]:
     rate = "CAST(l_discount * 20 AS VARCHAR)"
     dropout = f"""SELECT CAST(l_orderkey AS VARCHAR) AS node_id, {_over('rate', 0, '1', rate)} FROM lineitem WHERE l_discount * 20 > 1
@@ -340,5 +444,16 @@ def oracle_sql() -> dict[str, str]:
         "validate_lora_ts": _sql(lora_rows("regexp_replace(CAST(value AS VARCHAR), '[.]0$', '')"), "lora-adapter", joint=" "),
         "validate_quantization_bits_ts": _sql(f"SELECT {key}, {_enum('bits', 0, str(['4', '8']), bits)} FROM part WHERE p_partkey % 7 IN (4, 5)", "quantization-aware", joint=" "),
         "dialect_diff": differ,
+        "validate_values": _values_sql(),
+        "node_ids": _sql(
+            f"""SELECT CAST(p_partkey AS BIGINT) AS arch_id, 0 AS node_pos, id AS node_id, {_over('rate', 0, '1', repr('2'))}
+            FROM part JOIN (VALUES {', '.join(f"({k}, '{name}')" for k, (_, name) in enumerate(IDS))}) v(k, id) ON p_partkey % {len(IDS)} = k""",
+            "dropout", where,
+        ),
+        "registry_contract": f"""WITH {CONTRACT_SQL} SELECT 3::BIGINT AS version, count(*) FILTER (head) AS n_components, count(*) FILTER (NOT head) AS n_params,
+          {len(DIAGNOSTICS)}::BIGINT AS n_diagnostics FROM owned""",
+        "registry_components": COMPONENTS_SQL,
+        "registry_params": PARAMS_SQL,
+        "registry_diagnostics": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"$x${y}$x$" for y in (k, *v)) + ")" for k, v in DIAGNOSTICS.items()) + ") v(code, severity, template, fix_hint)",
         "severity_summary": f"SELECT sev AS severity, code, count(*) AS n FROM ({dropout}) GROUP BY sev, code",
     }

@@ -180,3 +180,31 @@ def test_registry():
 @pytest.mark.parametrize("name, expected", [("dFf", ["dFf", "d_ff"]), ("weight_decay", ["weight_decay", "weightDecay"]), ("p", ["p"])])
 def test_spellings(name, expected):
     assert R.spellings(name) == expected
+
+
+def test_registry_as_views_and_as_a_file(spark, tmp_path):
+    from plumbline.sources import registry
+
+    registry.register_views(spark)
+    asked = spark.sql(
+        "SELECT c.layer_type, p.key, d.severity FROM registry_params p JOIN registry_components c USING (component_id) "
+        "JOIN registry_diagnostics d ON d.code = p.advisories[0].code WHERE p.key = 'affine'"
+    )
+    assert [tuple(r) for r in asked.collect()] == [("instance_normalization", "affine", "info")]
+    text = registry.write_contract(str(tmp_path / "contract.json"))
+    assert (tmp_path / "contract.json").read_text() == text == R.contract_json()
+    document = json.loads(text)
+    assert [len(document[k]) for k in ("components", "diagnostics")] == [44, 17]
+    dropout = next(c for c in document["components"] if c["component_id"] == "dropout")
+    assert dropout["params"][0]["numeric"] == {"integer": False, "min": 0.0, "max": 1.0, "warn_max": 0.7} and dropout["params"][0]["aliases"] == ["p"]
+
+
+def test_shared_folder_is_never_local_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from plumbline.sources.folders import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    conf = SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=conf))
