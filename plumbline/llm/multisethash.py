@@ -2,7 +2,7 @@
 
 A document is a multiset of paragraphs. Each paragraph is hashed to a wide vector, and the
 fingerprint is the sum of the vectors: 8 lanes of 64 random bits modulo 2**64, by which equality is
-judged, and 256 lanes of plus or minus one modulo 2**16, whose squared length estimates how many
+judged, and 512 lanes of plus or minus one modulo 2**16, whose squared length estimates how many
 paragraphs a multiset holds. The sum does not depend on order; a paragraph is inserted by adding its
 vector and deleted by subtracting it; and the difference of two fingerprints is the fingerprint of
 what the documents do not share, from which their likeness follows.
@@ -22,29 +22,29 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_columns
 
-WIDE, SIGNS = 8, 256
-#: Line breaks, and the ends of sentences of long lines, part paragraphs.
+WIDE, SIGNS = 8, 512
+#: Line breaks and the ends of sentences part paragraphs.
 _BREAK = re.compile(rb"\n+|(?<=[.!?])[ \t]+")
-#: A paragraph of more words is parted further, after words whose checksum ends in four zero bits.
-MOST_WORDS = 32
+#: So do words, wherever they stand, whose checksum has none of these bits: one word in eight.
+PART = 7
 BYTES = 8 * WIDE + 2 * SIGNS
 
 
 def paragraphs(text: bytes) -> list[bytes]:
-    """The paragraphs of a text, white space within each turned to single spaces."""
-    out = []
+    """The paragraphs of a text, white space within each turned to single spaces.
+
+    What parts them depends on the words there alone, not on lengths, so texts that share a stretch share
+    the paragraphs in it.
+    """
+    out, check = [], zlib.crc32
     for part in _BREAK.split(text):
-        words = part.split()
-        if len(words) <= MOST_WORDS:
-            if words:
-                out.append(b" ".join(words))
-            continue
-        start = 0
+        words, start = part.split(), 0
         for k, word in enumerate(words, 1):
-            if zlib.crc32(word) & 15 == 0 or k == len(words):
+            if not check(word) & PART:
                 out.append(b" ".join(words[start:k]))
                 start = k
-        # words[start:] is empty: the last word ends a part
+        if start < len(words):
+            out.append(b" ".join(words[start:]))
     return out
 
 
