@@ -40,7 +40,8 @@ def shingle_hashes(text: bytes, shingle: int = 4, lower: bool = True) -> np.ndar
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
-    return np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
+    ends = ends[shingle - 1 :].tolist()
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends)), "<u8", len(ends))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -191,14 +192,14 @@ def _dealt(fps: DataFrame, scheme: list[tuple[int, int]], block: int, more: tupl
     full = (
         rows.groupBy("seg", "val")
         .agg(F.count_if("filed").alias("t"), F.count(F.lit(1)).alias("q"))
-        .where((F.col("t") > 0) & (F.col("q") > block))
-        .select("seg", "val", F.ceil(F.col("q") / block).cast("int").alias("cells"))
+        .where(F.col("q") > block)
+        .select("seg", "val", F.when(F.col("t") > 0, F.ceil(F.col("q") / block)).otherwise(0).cast("int").alias("cells"))
     )
     full = cut_lineage(full)
     own = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int")
     i, j = F.least(own, F.col("c")), F.greatest(own, F.col("c"))
     hot = (
-        rows.join(full, ["seg", "val"])
+        rows.join(full.where("cells > 0"), ["seg", "val"])  # where nothing is filed, nobody meets
         .withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
         .select("seg", "val", (i * F.col("cells") + j + 1).cast("bigint").alias("cell"), "filed", "fp", "rep", *more)
     )

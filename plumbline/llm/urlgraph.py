@@ -9,6 +9,8 @@ rule of their own take their host's verdict.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +69,7 @@ def spread(edges: DataFrame, seeds: DataFrame, seed: str, damping: float, rounds
     """``host`` and ``score``: the personalised PageRank of ``seeds`` over ``edges`` (src, dst, n).
 
     Scores restart at the seeds with probability 1 - damping; what reaches a host without links goes
-    no further. Rounds end when no score moves by more than ``tolerance``.
+    no further. Rounds end when no score moves by more than ``tolerance``; a warning tells if ``rounds`` were too few.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     weighted = edges.join(small_side(cut_lineage(out), BROADCAST_ROWS), "src").select(
@@ -93,6 +95,8 @@ def spread(edges: DataFrame, seeds: DataFrame, seed: str, damping: float, rounds
         now = new
         if change is None or change <= tolerance:
             break
+    else:
+        warnings.warn(f"scores still moved by {change} after {rounds} rounds", stacklevel=2)
     return now
 
 
