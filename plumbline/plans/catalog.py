@@ -36,6 +36,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where a table has fewer parts than there are cores, as small ones have; no step of larger ones."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _pick(texts: tuple[str, ...], number: str) -> F.Column:
     return F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col(number) % len(texts) + 1).cast("int"))
 
@@ -46,7 +52,8 @@ def _out(verdicts: DataFrame) -> DataFrame:
 
 def _rows(spark: SparkSession, sf_dir: str, table: str, key: str, component: str, config) -> DataFrame:
     config = F.expr(config) if isinstance(config, str) else config
-    return _table(spark, sf_dir, table).select(F.col(key).cast("string").alias("node_id"), F.lit(component).alias("component_id"), config.alias("config"))
+    rows = _table(spark, sf_dir, table).select(F.col(key).cast("string").alias("node_id"), F.lit(component).alias("component_id"), config.alias("config"))
+    return _spread(rows)
 
 
 def _configs(spark: SparkSession, sf_dir: str, table: str, key: str, component: str, config, dialect: str = "python") -> DataFrame:
@@ -158,19 +165,19 @@ def resolve_component(spark, sf_dir):
 def normalize_padding(spark, sf_dir):
     text = F.concat(F.lit('{"a":2.0,"padding":'), _pick(PADDINGS, "p_partkey"), F.lit(',"b":null}'))
     rows = _table(spark, sf_dir, "part").select("p_partkey", F.lit("convolution-layer").alias("component_id"), text.alias("config"))
-    return normalize.normalize_configs(rows).select("p_partkey", "normalized")
+    return normalize.normalize_configs(_spread(rows)).select("p_partkey", "normalized")
 
 
 def normalize_diagram(spark, sf_dir):
     text = F.concat(F.lit('{"v":1,"nodes":[7,{"id":"a","data":{"layer_type":"CONV2D","config":{"padding":'), _pick(PADDINGS, "p_partkey"), F.lit('}}},{"data":{}}]}'))
     rows = _table(spark, sf_dir, "part").select("p_partkey", text.alias("diagram"))
-    return normalize.normalize_diagrams(rows).select("p_partkey", "normalized")
+    return normalize.normalize_diagrams(_spread(rows)).select("p_partkey", "normalized")
 
 
 def normalize_layers(spark, sf_dir):
     text = F.concat(F.lit('{"layers":[{"type":"conv2d","config":{"padding":'), _pick(PADDINGS, "p_partkey"), F.lit('}},{"type":"pooling","config":{"padding":"same"}},{"type":"conv2d"}]}'))
     rows = _table(spark, sf_dir, "part").select("p_partkey", text.alias("architecture"))
-    return normalize.normalize_layer_lists(rows).select("p_partkey", "normalized")
+    return normalize.normalize_layer_lists(_spread(rows)).select("p_partkey", "normalized")
 
 
 FLAGS = (
@@ -185,7 +192,7 @@ def param_flags(spark, sf_dir):
     asked = [F.struct(*[F.lit(x).alias(n) for x, n in zip(r, ("component_id", "key", "config"))]) for r in FLAGS]
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*asked), (F.col("o_orderkey") % len(FLAGS) + 1).cast("int")).alias("q"))
     rows = rows.select("o_orderkey", "q.*")
-    return validate.param_flags(rows).select("o_orderkey", "is_integer", "is_applicable")
+    return validate.param_flags(_spread(rows)).select("o_orderkey", "is_integer", "is_applicable")
 
 
 #: (component, config) by p_partkey: values of other kinds, below the recommended range, under an alias, and with notes.
@@ -201,7 +208,7 @@ VALUES = (
 def validate_values(spark, sf_dir):
     picked = F.element_at(F.array(*[F.struct(F.lit(c).alias("component_id"), F.lit(t).alias("config")) for c, t in VALUES]), (F.col("p_partkey") % len(VALUES) + 1).cast("int"))
     rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("node_id"), picked.alias("q")).select("node_id", "q.*")
-    return _out(validate.validate_configs(rows))
+    return _out(validate.validate_configs(_spread(rows)))
 
 
 #: Ids of nodes as documents write them, and as verdicts name them.
