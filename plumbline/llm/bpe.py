@@ -10,6 +10,10 @@ aggregates the bytes in order. Documents are then put together from their words.
 Where one merge alone makes a token, and no token of a lower rank starts or ends with it, contracting
 one occurrence can't bring forth a pair that comes before the next occurrence; a round then contracts
 all occurrences from left to right, which gives the same tokens in fewer rounds.
+
+Tokens are the encoding of their bytes if each two neighbours are the encoding of theirs. So a very long
+word goes through the query in pieces, and where two pieces meet the tokens around the seam are coded
+anew, ever more of them until both ends fit what stays.
 """
 
 from __future__ import annotations
@@ -37,6 +41,9 @@ CACHE = 1_500_000
 #: Characters of a text handled at once, bytes of text to a result batch, and characters of words in one query.
 SEGMENT, PORTION, QUERY = 1 << 20, 2 << 20, 1 << 20
 
+#: Words of more bytes are coded in pieces of so many; tokens on either side of a seam that are coded anew, to begin with.
+LONG, SEAM = 512, 12
+
 #: k packs rank, whether all occurrences may go at once, and position, so that its minimum is the leftmost best pair.
 #: The keyed recursion holds one row a word; the round number makes each changed word new to the next round.
 ENCODE = f"""
@@ -61,9 +68,11 @@ WITH RECURSIVE t(word, seq, round) USING KEY (word) AS (
 SELECT word, seq FROM t
 """
 DECODE = """
-SELECT word, any_value(seq) AS seq, string_agg(v.hex, '' ORDER BY pos) AS hex
-FROM (SELECT word, seq, unnest(l) AS tok, unnest(range(len(l))) AS pos FROM (SELECT *, string_split(seq, '') AS l FROM coded))
-JOIN vocabulary v USING (tok) GROUP BY word
+SELECT word, seq, hex FROM coded JOIN (
+  SELECT word, string_agg(v.hex, '' ORDER BY pos) AS hex
+  FROM (SELECT word, unnest(l) AS tok, unnest(range(len(l))) AS pos FROM (SELECT word, string_split(seq, '') AS l FROM coded))
+  JOIN vocabulary v USING (tok) GROUP BY word
+) USING (word)
 """
 
 
@@ -100,6 +109,7 @@ class Coder:
         self.query = QUERY
         vocabulary = Vocabulary(path)
         self.ranks = vocabulary.ranks
+        self.raw = {rank: token for token, rank in self.ranks.items()}
         self.first = np.array([OFFSET + self.ranks[bytes([i])] for i in range(256)], "<u4")
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         tokens = list(self.ranks.items())
@@ -119,8 +129,11 @@ class Coder:
 
     def learn(self, words: list[str]) -> None:
         """Encode and decode new distinct words, portion by portion."""
+        long = [w for w in words if len(w) > LONG // 4 and len(w.encode("utf-8", "surrogateescape")) > LONG]
+        for word in long:
+            self._learn_long(word)
         portion, size = [], 0
-        for word in words:
+        for word in set(words).difference(long) if long else words:
             portion.append(word)
             size += len(word)
             if size >= self.query:
@@ -152,6 +165,57 @@ class Coder:
             self.words[portion[k]] = (ids[i:j], text[t:u])
             i, t = j, u
 
+    def _ids(self, raws: list[bytes]) -> list[np.ndarray]:
+        """Token ids of byte strings that are coded as they are, however long."""
+        names = [raw.decode("utf-8", "surrogateescape") for raw in raws]
+        new, size = [], 0
+        for name in dict.fromkeys(n for n in names if n not in self.words):
+            new.append(name)
+            size += len(name)
+            if size >= self.query:
+                self._code(new)
+                new, size = [], 0
+        if new:
+            self._code(new)
+        return [np.frombuffer(self.words[name][0], "<u4") for name in names]
+
+    def _learn_long(self, word: str) -> None:
+        """Pieces of a long word are coded, then joined in pairs until one is left."""
+        raw = word.encode("utf-8", "surrogateescape")
+        parts = self._ids([raw[k : k + LONG] for k in range(0, len(raw), LONG)])
+        while len(parts) > 1:
+            odd = parts[-1:] if len(parts) % 2 else []
+            parts = self._joined(list(zip(parts[::2], parts[1::2]))) + odd
+        ids = parts[0]
+        rows = [ids[k : k + LONG] for k in range(0, len(ids), LONG)]
+        seqs = [(row + np.uint32(OFFSET)).astype("<u4").tobytes().decode("utf-32-le") for row in rows]
+        self.db.register("coded", pa.table({"word": np.arange(len(seqs), dtype=np.int32), "seq": seqs}))
+        found = dict((k, text) for k, _, text in self.db.sql(DECODE).fetchall())
+        self.db.unregister("coded")
+        self.words[word] = (ids.astype("<u4").tobytes(), bytes.fromhex("".join(found[k] for k in range(len(seqs)))))
+
+    def _joined(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The tokens of each two neighbouring stretches as one."""
+        raw, done = self.raw, [None] * len(pairs)
+        left = {k: SEAM for k in range(len(pairs))}
+        while left:
+            cuts = {k: (max(len(pairs[k][0]) - n, 0), min(n, len(pairs[k][1]))) for k, n in left.items()}
+            middles = self._ids([b"".join([raw[t] for t in (*pairs[k][0][a:].tolist(), *pairs[k][1][:b].tolist())]) for k, (a, b) in cuts.items()])
+            seams = []  # neighbours where the middle meets what stays
+            for (k, (a, b)), middle in zip(cuts.items(), middles):
+                x, y = pairs[k]
+                seams += [(k, int(x[a - 1]), int(middle[0]))] if a else []
+                seams += [(k, int(middle[-1]), int(y[b]))] if b < len(y) else []
+            coded = self._ids([raw[i] + raw[j] for _, i, j in seams])
+            bad = {k for (k, i, j), ids in zip(seams, coded) if ids.tolist() != [i, j]}
+            for (k, (a, b)), middle in zip(cuts.items(), middles):
+                if k in bad:
+                    left[k] *= 4
+                else:
+                    done[k] = np.concatenate((pairs[k][0][:a], middle, pairs[k][1][b:]))
+                    del left[k]
+        return done
+
     def _learn_pieces(self, first: set[str], others: set[str]) -> None:
         """Split new pieces into words, learn those, and keep the pieces' tokens.
 

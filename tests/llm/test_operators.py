@@ -477,6 +477,21 @@ def test_bpe_of_odd_texts(encoding, seed):
     assert few == own.code(texts[:400])
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ACGT", "a", "的一是不了", "éüñaeiou", "-=", " "])
+def test_bpe_of_long_words(encoding, alphabet):
+    """Words far longer than a piece: equal to the library's, and in proportion to their length."""
+    import time
+
+    rng = random.Random(alphabet)
+    coder = bpe.coder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    start = time.process_time()
+    for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3 * bpe.LONG + 7, 30_000):
+        word = "".join(rng.choice(alphabet) for _ in range(n))
+        ((ids, decoded),) = coder.code([word + "x"])
+        assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(word + "x") and decoded == (word + "x").encode()
+    assert time.process_time() - start < 20
+
+
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
