@@ -106,32 +106,51 @@ def _with_next(docs: DataFrame) -> DataFrame:
     """Rows in which each document is followed by the next by doc_id: bucket, ahead, doc_id, text.
 
     Ranges of ids are buckets; the first document of each is also dealt, marked as ahead, to the
-    bucket before, and the first of all to the last one. Whole texts move once. Bounds and firsts
-    are 4 to a shuffle partition, which is all that comes to the driver.
+    bucket before, and the first of all to the last one. An id with more rows than a bucket should
+    have (say, null) has buckets of its own, by ranges of the hash that orders its rows. Whole texts move
+    once. Bounds, firsts and such ids are some 4 each to a shuffle partition, which is all that comes to the driver.
     """
     from pyspark.ml.feature import Bucketizer
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    placed = plain.withColumn("__at", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)).alias("__at"))
-    bounds = sorted(set(ids.approxQuantile("__at", [k / (4 * parts) for k in range(1, 4 * parts)], 1 / (16 * parts))))
-    bounds = bounds or [0.0]  # an empty table
-    buckets = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="__at", outputCol="__bucket")
-    placed = buckets.transform(placed).withColumn("bucket", F.col("__bucket").cast("int"))
-    firsts = sorted(
-        buckets.transform(docs.select("doc_id", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)).alias("__at")))
-        .groupBy(F.col("__bucket").cast("int").alias("bucket"))
-        .agg(F.min("__at").alias("at"))
-        .collect()
-    )
-    to = [(r["at"], firsts[k - 1]["bucket"]) for k, r in enumerate(firsts)]  # the first goes to the last
-    heads = docs.sparkSession.createDataFrame(to, "__first double, __to int")
-    ahead = placed.join(F.broadcast(heads), F.col("__at") == F.col("__first")).select(
-        F.col("__to").alias("bucket"), F.lit(1).alias("ahead"), "doc_id", "text"
-    )
-    rows = placed.select("bucket", F.lit(0).alias("ahead"), "doc_id", "text").union(ahead)
-    return rows.repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)).alias("__at")
+    ids, text = docs.select(at), F.coalesce("text", F.lit("")).alias("text")
+    share = ids.count() // (4 * parts) + 1
+    # beyond 2**53 a double stands for several ids, which the hash must not part
+    often = ids.groupBy("__at").count().where((F.col("count") > share) & ((F.abs("__at") < 2.0**53) | (F.col("__at") == -1e300)))
+    often = {r["__at"]: -(-r["count"] // share) for r in often.collect()}
+    bounds = set(ids.approxQuantile("__at", [k / (4 * parts) for k in range(1, 4 * parts)], 1 / (16 * parts)))
+    bounds |= {x for h in often for x in (h, float(np.nextafter(h, np.inf)))}
+    splits = [-float("inf"), *(sorted(bounds) or [0.0]), float("inf")]  # 0: an empty table
+    buckets = Bucketizer(splits=splits, inputCol="__at", outputCol="__bucket")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """``rows`` with __bucket (range of ids), __hash (of the text) and __part (range of the hash, 0 but for common ids)."""
+        out = buckets.transform(rows).withColumn("__bucket", F.col("__bucket").cast("int"))
+        out = out.withColumn("__hash", F.xxhash64("text"))
+        if not often:
+            return out.withColumn("__part", F.lit(0))
+        known = F.create_map(*[F.lit(x) for pair in often.items() for x in pair])[F.col("__at")]
+        nth = F.floor((F.col("__hash").cast("double") / 2.0**64 + 0.5) * known).cast("int")
+        return out.withColumn("__part", F.coalesce(F.least(nth, known.cast("int") - 1), F.lit(0)))
+
+    every = placed(docs.select("doc_id", at, text))
+    plain = buckets.transform(ids).groupBy(F.col("__bucket").cast("int").alias("b")).agg(F.min("__at").alias("first"))
+    firsts = [(r["b"], 0, r["first"], None) for r in plain.collect() if r["first"] not in often]
+    if often:
+        common = every.where(F.col("__at").isin(*often)).groupBy("__bucket", "__part").agg(F.min("__at").alias("first"), F.min("__hash").alias("hash"))
+        firsts += [tuple(r) for r in common.collect()]
+    firsts.sort(key=lambda r: r[:2])
+    number = {r[:2]: k for k, r in enumerate(firsts)}
+    to = [(r[2], r[3], (k - 1) % len(firsts)) for k, r in enumerate(firsts)]  # the first goes to the last
+    heads = spark.createDataFrame(to, "__first double, __of bigint, __to int")
+    numbers = spark.createDataFrame([(*k, n) for k, n in number.items()], "__bucket int, __part int, bucket int")
+    same = (F.col("__at") == F.col("__first")) & (F.col("__of").isNull() | (F.col("__hash") == F.col("__of")))
+    ahead = every.join(F.broadcast(heads), same).select(F.col("__to").alias("bucket"), F.lit(1).alias("ahead"), "doc_id", "__hash", "text")
+    own = every.join(F.broadcast(numbers), ["__bucket", "__part"]).select("bucket", F.lit(0).alias("ahead"), "doc_id", "__hash", "text")
+    dealt = own.union(ahead).repartitionByRange(parts, "bucket")
+    return dealt.sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_first(), "__hash", "text").drop("__hash")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -144,7 +163,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     ``near_edited``, ``near_next``.
 
     Null texts are empty, with the fingerprint of no paragraphs. A single document is its own next.
-    Rows that repeat a doc_id follow each other in the order of their texts; a null id comes first.
+    Rows that repeat a doc_id follow each other in the order of a hash of their texts; a null id comes first.
+    An empty table gives no rows; other columns are ignored.
     """
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

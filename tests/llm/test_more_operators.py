@@ -405,6 +405,23 @@ def test_edited_fingerprints(spark, partitions):
         assert bytes(r["edited_vector"]) == multisethash.vector(multisethash.paragraphs(edited.encode())).tobytes()
         assert r["near_next"] == multisethash.likeness(vectors[doc], vectors[after])
         assert 0 <= r["near_edited"] <= 1
+    assert multisethash.edited_fingerprints(docs.where("doc_id = 3").select("doc_id", "text")).count() == 1
     one = multisethash.edited_fingerprints(docs.where("doc_id = 3")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert multisethash.edited_fingerprints(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_edited_fingerprints_of_one_id_with_most_rows(spark, partitions):
+    rng = random.Random(partitions)
+    rows = [(rng.choice([None, None, 7, k, 2**60 + k % 3]), f"text {k} " * rng.randint(0, 30)) for k in range(400)] + [(None, None), (7, "same " * 9), (7, "same " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(partitions)
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+    ordered = sorted(hashed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"]))
+    want = Counter()
+    for k, r in enumerate(ordered):
+        text, following = r["text"], ordered[(k + 1) % len(ordered)]["text"]
+        quarter = len(text) // 4
+        want[r["doc_id"], len(text), hashlib.sha256((text[: len(text) - quarter] + following[:quarter]).encode()).hexdigest()] += 1
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in multisethash.edited_fingerprints(docs).collect())
+    assert got == want
