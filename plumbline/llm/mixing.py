@@ -34,6 +34,8 @@ STRETCH = 65_536
 BLOCK, LEAST_BLOCKS, MOST_SLOTS = 4096, 128, 1 << 31
 #: A table of sources of at most so many rows is broadcast.
 BROADCAST_ROWS = 100_000
+#: A table of row and slot (16 bytes) of at most so many rows is broadcast to the texts.
+BROADCAST_PARTS = 500_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_EPOCHS) -> DataFrame:
@@ -235,7 +237,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataF
     )
     parts = cut_lineage(parts)
     columns = [*docs.columns, "__slot", "__row"]
-    whole = parts.where("__words = size").select("__row", "__slot")
+    whole = small_side(parts.where("__words = size").select("__row", "__slot"), BROADCAST_PARTS)  # else the texts move twice
     rest = parts.where("__words < size").select("__row", "__slot", "__first", "__words")  # one row per source
     part = _cut_words(keyed.join(small_side(rest, BROADCAST_ROWS), "__row"), columns)
     out = keyed.join(whole, "__row").select(*columns).unionByName(part).sort("__slot", "__row").select(*docs.columns)

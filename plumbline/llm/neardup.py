@@ -32,7 +32,7 @@ TILE, MANY = 256, 8
 #: Candidates held before they are thinned to a forest.
 HELD = 200_000
 #: Texts, and shingles, of one block of a group, some.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 
 
 def scheme(radius: int) -> list[tuple[int, int]]:
@@ -305,4 +305,4 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     found = near_classes(docs, shingle, similarity, radius)
     gone = cut_lineage(found.where("doc_id != least").select(F.col("doc_id").alias("__gone"), F.col("key").alias("__key")).distinct())
     same = (F.col("doc_id") == F.col("__gone")) & (F.xxhash64(text_bytes()) == F.col("__key"))
-    return docs.join(gone, same, "left_anti")
+    return docs.join(small_side(gone, BROADCAST_ROWS), same, "left_anti")
