@@ -13,11 +13,13 @@ from plumbline.llm.common import cut_lineage, small_side
 
 #: A table of minima of at most so many rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Edges to a partition: a small graph is not strewn over as many files a round as a large one.
+EDGES = 100_000
 
 
-def _minima(edges: DataFrame) -> DataFrame:
+def _minima(edges: DataFrame, parts: int) -> DataFrame:
     """Per node its least neighbour or itself. Checkpointed, so that adaptive execution sees two plain sides."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts)
     return small_side(cut_lineage(least), BROADCAST_ROWS)
 
 
@@ -36,21 +38,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             break
-        before = state
+        before, parts = state, max(1, -(-state[0] // EDGES))
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
             both.where("v > u")
-            .join(_minima(both), "u")
+            .join(_minima(both, parts), "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u != v")
             .distinct()
         )
-        large = cut_lineage(large)
+        large = cut_lineage(large.coalesce(parts))
         now = cut_lineage(
-            large.join(_minima(large), "u")
+            large.join(_minima(large, parts), "u")
             .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
             .where("u != v")
             .distinct()
+            .coalesce(parts)
         )
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

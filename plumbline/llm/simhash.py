@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut_lineage, map_columns, text_bytes
-from plumbline.llm.components import connected_components
+from plumbline.llm.common import cut_lineage, map_columns, small_side, text_bytes
+from plumbline.llm.components import BROADCAST_ROWS, connected_components
 
 #: (width, ball radius) of the segments, by the most distinct fingerprints for which they are meant.
 SCHEMES = [
@@ -195,7 +195,7 @@ def _dealt(fps: DataFrame, scheme: list[tuple[int, int]], block: int, more: tupl
         .where(F.col("q") > block)
         .select("seg", "val", F.when(F.col("t") > 0, F.ceil(F.col("q") / block)).otherwise(0).cast("int").alias("cells"))
     )
-    full = cut_lineage(full)
+    full = small_side(cut_lineage(full), BROADCAST_ROWS)  # else all rows move twice more
     own = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int")
     i, j = F.least(own, F.col("c")), F.greatest(own, F.col("c"))
     hot = (
